@@ -1,76 +1,44 @@
-"""Strict decoding and defensive coercion of a reader's JSON replies.
-
-A reply is one JSON object ``{category, read, severity, confidence}``. Absent fields
-take defaults; a text field that is present but not a string, a duplicate key or
-trailing text makes the whole reply an error, so that its item is offered again.
-"""
+"""Coercion of a reader's reply fields, and strict JSON, as Column expressions."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from newsdesk.functions.text import unicode_trim
 from newsdesk.sources.catalogue import CATEGORY_SYNONYMS
 
-TEXT_FIELDS = ("category", "read", "confidence")
-FIELD_POSITIONS = {"category": 0, "read": 1, "severity": 2, "confidence": 3}
-
 MIN_SEVERITY, MAX_SEVERITY = 1, 4
-UNSIGNED_64_MAX = 18446744073709551615
-SIGNED_64_MAX = 9223372036854775807
 
+# Integers that fit 64 bits only without a sign; JSON numbers in this range are DECIMAL.
+UNSIGNED_ONLY = (Decimal(2**63), Decimal(2**64 - 1))
 
-def strict_json(raw: Column) -> Column:
-    """VARIANT of a text that is exactly one JSON value, else null.
 
-    ``try_parse_json`` stops after the first value and ignores the rest. Reading the
-    text as the first of two array elements, the second being a hash of the text,
-    makes any trailing text change the array's shape.
+def json_pair(text: Column) -> Column:
+    """VARIANT array of the JSON value in ``text`` and a hash of the text.
+
+    ``try_parse_json`` stops after the first value and ignores the rest of a text. With
+    the hash behind it, trailing text changes the shape of the array.
     """
-    seal = F.xxhash64(raw).cast("string")
-    pair = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(","), seal, F.lit("]")))
-    whole = (
-        F.schema_of_variant(pair).startswith("ARRAY")
-        & F.try_variant_get(pair, "$[2]", "variant").isNull()
-        & F.try_variant_get(pair, "$[1]", "string").eqNullSafe(seal)
-    )
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit(","), _seal(text), F.lit("]")))
+
+
+def whole_value(pair: Column, text: Column) -> Column:
+    """The value of a :func:`json_pair` whose text was exactly one JSON value, else null."""
+    whole = F.try_variant_get(pair, "$[1]", "string").eqNullSafe(_seal(text)) & F.try_variant_get(
+        pair, "$[2]", "variant"
+    ).isNull()
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 
-def _field(reply: Column, name: str) -> Column:
-    """A field of an object reply, or the matching element of an array reply."""
-    by_name = F.try_variant_get(reply, f"$.{name}", "variant")
-    by_position = F.try_variant_get(reply, f"$[{FIELD_POSITIONS[name]}]", "variant")
-    return F.coalesce(by_name, by_position)
+def _seal(text: Column) -> Column:
+    return F.xxhash64(text).cast("string")
 
 
-def decoded(raw: Column) -> Column:
-    """``STRUCT<category, read, confidence, severity VARIANT>`` of a valid reply, else null."""
-    reply = strict_json(raw)
-    kind = F.schema_of_variant(reply)
-    shaped = kind.startswith("OBJECT") | (
-        kind.startswith("ARRAY")
-        & F.try_variant_get(reply, f"$[{len(FIELD_POSITIONS)}]", "variant").isNull()
-    )
-    valid = F.coalesce(shaped, F.lit(False))
-    for name in TEXT_FIELDS:
-        valid = valid & F.coalesce(
-            F.schema_of_variant(_field(reply, name)) == "STRING", F.lit(True)
-        )
-    texts = [
-        F.coalesce(F.try_variant_get(_field(reply, name), "$", "string"), F.lit("")).alias(name)
-        for name in TEXT_FIELDS
-    ]
-    return F.when(valid, F.struct(*texts, _field(reply, "severity").alias("severity")))
-
-
-def envelope_response(body: Column) -> Column:
-    """The reply text inside a model server's ``{"response": "<json>"}`` body, else null."""
-    response = F.try_variant_get(strict_json(body), "$.response", "variant")
-    return F.when(
-        F.schema_of_variant(response) == "STRING", F.try_variant_get(response, "$", "string")
-    )
+def is_text(value: Column) -> Column:
+    return F.schema_of_variant(value) == "STRING"
 
 
 def coerce_severity(severity: Column) -> Column:
@@ -88,14 +56,12 @@ def coerce_severity(severity: Column) -> Column:
     )
     value = (
         F.when((kind == "BIGINT") & (whole >= 0), whole % 256)
-        .when(
-            kind.startswith("DECIMAL") & (wide > SIGNED_64_MAX) & (wide <= UNSIGNED_64_MAX),
-            wide % 256,
-        )
+        .when(kind.startswith("DECIMAL") & wide.between(*UNSIGNED_ONLY), wide % 256)
         .when((kind == "STRING") & (spelled <= 255), spelled)
+        .otherwise(MIN_SEVERITY)
+        .cast("int")
     )
-    clamped = F.greatest(F.lit(MIN_SEVERITY), F.least(F.lit(MAX_SEVERITY), value.cast("int")))
-    return F.coalesce(F.when(value.isNotNull(), clamped), F.lit(MIN_SEVERITY))
+    return F.greatest(F.lit(MIN_SEVERITY), F.least(F.lit(MAX_SEVERITY), value))
 
 
 def category_spelling(category: Column) -> Column:

@@ -56,15 +56,22 @@ def percent_encode(text: Column) -> Column:
     return form
 
 
-def grams(text: Column, longest: int) -> Column:
-    """Distinct runs of 1..``longest`` consecutive words of an already normalised text."""
-    tokens = F.filter(F.split(text, " "), lambda w: w != "")
-    runs = [tokens]
+def tokens(text: Column) -> Column:
+    """Words of an already normalised text."""
+    return F.filter(F.split(text, " "), lambda word: word != "")
+
+
+def grams(words_column: str, longest: int) -> Column:
+    """Distinct runs of 1..``longest`` consecutive words of an array column."""
+    single = F.col(words_column)
+    runs = [single]
     for n in range(2, longest + 1):
-        starts = F.when(
-            F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))
-        ).otherwise(F.array().cast("array<int>"))
+        shorter, count = runs[-1], F.greatest(F.lit(0), F.size(single) - (n - 1))
         runs.append(
-            F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
+            F.zip_with(
+                F.slice(shorter, F.lit(1), count),
+                F.slice(single, F.lit(n), count),
+                lambda run, word: F.concat(run, F.lit(" "), word),
+            )
         )
     return F.array_distinct(F.concat(*runs))

@@ -17,6 +17,7 @@ def local_session(cpus: int = 8, app: str = "newsdesk") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -39,6 +40,12 @@ def use_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(folder)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Shared folder for tables that a plan writes and reads again."""
+    use_checkpoints(spark)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, partitions and order, read back from reliable storage."""
     use_checkpoints(df.sparkSession)

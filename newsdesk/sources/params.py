@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.functions.replies import MAX_SEVERITY, MIN_SEVERITY
-from newsdesk.functions.text import unicode_trim
+from newsdesk.operators.decode import with_json
 
 # Parameter defaults, and the floors applied when tuning is written.
 DEFAULTS = {
@@ -31,9 +31,6 @@ TYPES = {
     "max_per_drop": "int",
     "seen_path": "string",
 }
-DOCUMENT_SCHEMA = "webhooks MAP<STRING, STRING>, " + ", ".join(
-    f"{name} {kind}" for name, kind in TYPES.items()
-)
 TUNING_KEYS = ("min_severity", "poll_minutes", "drip_seconds")
 
 
@@ -54,8 +51,17 @@ class Params:
         """Parse a document; ``webhooks`` is required and unknown keys are ignored."""
         document = json.loads(text)
         known = {k: v for k, v in document.items() if k in cls.__dataclass_fields__}
-        if not isinstance(known.get("webhooks"), dict):
-            raise ValueError("parameter document has no webhooks map")
+        webhooks = known.get("webhooks")
+        if not isinstance(webhooks, dict) or not all(isinstance(v, str) for v in webhooks.values()):
+            raise ValueError("webhooks must be a map of strings")
+        for name, kind in TYPES.items():
+            value = known.get(name, DEFAULTS[name])
+            if kind == "string":
+                fits = isinstance(value, str)
+            else:
+                fits = type(value) is int and value >= 0
+            if not fits:
+                raise ValueError(f"{name} has the wrong type")
         return cls(**known)
 
     def tuned(self, min_severity: int, poll_minutes: int, drip_seconds: int) -> Params:
@@ -110,20 +116,31 @@ def save_tuning(
 
 
 def parsed_documents(documents: DataFrame, column: str = "document") -> DataFrame:
-    """Add the typed parameters of a table of JSON documents, defaults filled in.
+    """Replace JSON documents by their typed parameters, defaults filled in.
 
-    Documents without a ``webhooks`` map are not valid and are dropped.
+    Only valid documents remain: ``webhooks`` must be an object of strings, and a knob
+    that is present must be an unsigned integer (a string for names and paths).
     """
-    parsed = F.from_json(column, DOCUMENT_SCHEMA)
-    filled = [
-        F.coalesce(F.col(f"_parsed.{name}"), F.lit(DEFAULTS[name]).cast(kind)).alias(name)
-        for name, kind in TYPES.items()
-    ]
+    webhooks = F.try_variant_get("_json", "$.webhooks", "map<string,variant>")
+    valid = webhooks.isNotNull() & F.forall(
+        F.map_values(webhooks), lambda v: F.schema_of_variant(v) == "STRING"
+    )
+    filled = []
+    for name, kind in TYPES.items():
+        value = F.try_variant_get("_json", f"$.{name}", "variant")
+        typed = F.try_variant_get(value, "$", kind)
+        if kind == "string":
+            fits = F.schema_of_variant(value) == "STRING"
+        else:
+            fits = (F.schema_of_variant(value) == "BIGINT") & (typed >= 0)
+        if name == "min_severity":
+            fits = fits & (typed <= 255)
+        valid = valid & F.when(value.isNull(), F.lit(True)).otherwise(F.coalesce(fits, F.lit(False)))
+        filled.append(F.coalesce(typed, F.lit(DEFAULTS[name]).cast(kind)).alias(name))
+    urls = F.transform_values(webhooks, lambda _, v: F.try_variant_get(v, "$", "string"))
     rest = [c for c in documents.columns if c != column]
-    return (
-        documents.withColumn("_parsed", parsed)
-        .where(F.col("_parsed.webhooks").isNotNull())
-        .select(*rest, F.col("_parsed.webhooks").alias("webhooks"), *filled)
+    return with_json(documents, column, "_json").where(valid).select(
+        *rest, urls.alias("webhooks"), *filled
     )
 
 
@@ -144,15 +161,17 @@ def tuning_view(documents: DataFrame, column: str = "document") -> DataFrame:
     an unsigned integer shows its default.
     """
 
+
     def knob(name: str) -> Column:
-        text = unicode_trim(F.get_json_object(column, f"$.{name}"))
-        unsigned = F.when(F.regexp_like(text, F.lit("^[0-9]+$")), text.try_cast("bigint"))
+        value = F.try_variant_get("_json", f"$.{name}", "variant")
+        whole = F.try_variant_get(value, "$", "bigint")
+        unsigned = F.when((F.schema_of_variant(value) == "BIGINT") & (whole >= 0), whole)
         return F.coalesce(unsigned, F.lit(DEFAULTS[name]).cast("bigint")).alias(name)
 
-    webhooks = F.from_json(F.get_json_object(column, "$.webhooks"), "MAP<STRING, STRING>")
+    webhooks = F.try_variant_get("_json", "$.webhooks", "map<string,variant>")
     bands = F.coalesce(bands_of(webhooks), F.array().cast("array<string>"))
     rest = [c for c in documents.columns if c != column]
-    return documents.select(*rest, *[knob(k) for k in TUNING_KEYS], bands.alias("webhook_bands"))
+    return with_json(documents, column, "_json").select(*rest, *[knob(k) for k in TUNING_KEYS], bands.alias("webhook_bands"))
 
 
 def clamped_tuning(tuning: DataFrame) -> DataFrame:
