@@ -42,9 +42,8 @@ def drip_schedule(
     )
 
 
-def poll_index(clock: str, poll_minutes: int) -> Column:
-    """Number of the poll that gathers a row, counted from the epoch."""
-    seconds = F.unix_timestamp(F.col(clock).cast("timestamp"))
+def poll_index(seconds: Column, poll_minutes: int) -> Column:
+    """Number of the poll that gathers a row, from its arrival in epoch seconds."""
     return F.floor(seconds / (poll_minutes * 60)).cast("bigint")
 
 

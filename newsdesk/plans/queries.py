@@ -365,7 +365,7 @@ def poll_windows(spark: SparkSession, folder: str) -> DataFrame:
         V.table(spark, folder, "events")
         .groupBy(window.alias("poll"))
         .agg(F.count("*").alias("items"))
-        .select(F.unix_timestamp(F.col("poll.start").cast("timestamp")).alias("start_unix"), "items")
+        .select(V.wall_seconds(F.col("poll.start")).alias("start_unix"), "items")
     )
 
 
@@ -409,20 +409,20 @@ def feedcheck_rollup(spark: SparkSession, folder: str) -> DataFrame:
 def _activity(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the replayed history: each poll's line, then those of its pops."""
     polls = _summary(spark, folder).select(
-        F.col("poll_id").alias("at"), F.lit(0).cast("bigint").alias("place"), status.poll_line().alias("line")
+        "poll_id", F.lit(0).cast("bigint").alias("place"), status.poll_line().alias("line")
     )
     pops = _outcomes(_replayed(spark, folder), spark).select(
-        F.col("left_poll").alias("at"), "place", "line"
+        F.col("left_poll").alias("poll_id"), "place", "line"
     )
     return polls.unionByName(pops)
 
 
 def activity_log(spark: SparkSession, folder: str) -> DataFrame:
-    return status.recent_log(_activity(spark, folder), status.LOG_LINES, "at", "place")
+    return status.recent_log(_activity(spark, folder), status.LOG_LINES, "poll_id", "place")
 
 
 def recent_log(spark: SparkSession, folder: str) -> DataFrame:
-    return status.recent_log(_activity(spark, folder), status.SNAPSHOT_LINES, "at", "place")
+    return status.recent_log(_activity(spark, folder), status.SNAPSHOT_LINES, "poll_id", "place")
 
 
 def activity_posted(spark: SparkSession, folder: str) -> DataFrame:

@@ -122,6 +122,12 @@ def document_payloads(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def wall_seconds(ts: Column) -> Column:
+    """Seconds since the epoch of a time without zone, whatever the session's zone."""
+    days = F.unix_date(ts.cast("date")).cast("bigint")
+    return days * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def event_number() -> Column:
     return F.get_json_object("props", "$.k").cast("int")
 
@@ -132,7 +138,7 @@ def event_reads(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "events").select(
         "event_id",
         "ts",
-        poll_index("ts", POLL_MINUTES).alias("poll_id"),
+        poll_index(wall_seconds(F.col("ts")), POLL_MINUTES).alias("poll_id"),
         F.concat_ws(" ", "event_type", "event_id").alias("title"),
         F.concat(F.lit("https://example.org/e/"), "event_id").alias("link"),
         F.concat(F.lit("user "), "user_id").alias("source"),
