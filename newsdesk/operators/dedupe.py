@@ -48,11 +48,13 @@ def gathered(items: DataFrame) -> DataFrame:
 
 
 def unseen(batch: DataFrame, ledger: DataFrame) -> DataFrame:
-    return batch.join(ledger.select("fp"), "fp", "left_anti")
+    """Items of a batch that the ledger does not hold."""
+    return batch.join(ledger.select("fp"), "fp", "left_anti").select(*batch.columns)
 
 
 def suppressed(batch: DataFrame, ledger: DataFrame) -> DataFrame:
-    return batch.join(ledger.select("fp"), "fp", "left_semi")
+    """Items of a batch that the ledger already holds."""
+    return batch.join(ledger.select("fp"), "fp", "left_semi").select(*batch.columns)
 
 
 def seeded(batch: DataFrame, poll_id: int = 0) -> DataFrame:

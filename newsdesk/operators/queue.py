@@ -26,6 +26,13 @@ def popped(queue: DataFrame, most: int, *sequence: str) -> DataFrame:
     return queue.orderBy(*in_order(*sequence)).limit(most)
 
 
+def with_place(front: DataFrame, *sequence: str) -> DataFrame:
+    """Number the cards of one tick, at most ``max_per_drop``, from 1."""
+    return front.withColumn(
+        "place", F.row_number().over(W.orderBy(*in_order(*sequence))).cast("bigint")
+    )
+
+
 def remaining(queue: DataFrame, popped_cards: DataFrame, *sequence: str) -> DataFrame:
     return queue.join(popped_cards.select(*sequence), list(sequence), "left_anti")
 

@@ -61,7 +61,7 @@ def ledger_scan(spark: SparkSession, folder: str) -> DataFrame:
     """A ledger written as a table and read back."""
     ledger = LedgerTable(spark, f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4()}", cap=None)
     ledger.insert(dedupe.seeded(dedupe.gathered(V.all_items(spark, folder))), 0)
-    return ledger.current()
+    return ledger.before(1)
 
 
 def config_defaults(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,10 +142,10 @@ def ledger_after_poll(spark: SparkSession, folder: str) -> DataFrame:
     """The web ledger after one poll of the documents, written down and read back."""
     ledger = LedgerTable(spark, f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4()}", cap=None)
     ledger.insert(web_ledger(spark, folder), 0)
-    fresh = dedupe.unseen(dedupe.gathered(V.document_items(spark, folder)), ledger.current())
+    fresh = dedupe.unseen(dedupe.gathered(V.document_items(spark, folder)), ledger.before(1))
     read = reads.lexicon_reads(fresh, V.LEXICON)
     ledger.insert(dedupe.seeded(read, poll_id=1), 1)
-    return ledger.current()
+    return ledger.before(2)
 
 
 def unseen_items(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ITEM_COLUMNS = ("feed_ord", "entry_ord", "title", "link", "source")
@@ -29,6 +29,26 @@ HTML_ENTITIES = (
 )
 
 
+LANDED_SCHEMA = "value STRING, feed_ord INT"
+
+
+def landed_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """``feed_ord, body`` of payload files landed as ``<path>/feed_ord=<n>/<file>``.
+
+    A failed fetch lands as an empty file.
+    """
+    files = spark.read.schema(LANDED_SCHEMA).option("wholetext", True).text(path)
+    return files.select("feed_ord", F.col("value").alias("body"))
+
+
+def landing_payloads(spark: SparkSession, path: str, files_per_poll: int | None = None) -> DataFrame:
+    """The same folder as a stream of newly landed payloads."""
+    reader = spark.readStream.schema(LANDED_SCHEMA).option("wholetext", True)
+    if files_per_poll is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_poll)
+    return reader.text(path).select("feed_ord", F.col("value").alias("body"))
+
+
 def _entry(title: Column, link: Column) -> Column:
     return F.struct(
         F.coalesce(title, F.lit("")).alias("title"), F.coalesce(link, F.lit("")).alias("link")

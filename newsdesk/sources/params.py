@@ -31,6 +31,8 @@ TYPES = {
     "max_per_drop": "int",
     "seen_path": "string",
 }
+# The severity floor is one byte.
+LARGEST = {"min_severity": 255}
 TUNING_KEYS = ("min_severity", "poll_minutes", "drip_seconds")
 
 
@@ -59,7 +61,7 @@ class Params:
             if kind == "string":
                 fits = isinstance(value, str)
             else:
-                fits = type(value) is int and value >= 0
+                fits = type(value) is int and 0 <= value <= LARGEST.get(name, value)
             if not fits:
                 raise ValueError(f"{name} has the wrong type")
         return cls(**known)
@@ -133,8 +135,8 @@ def parsed_documents(documents: DataFrame, column: str = "document") -> DataFram
             fits = F.schema_of_variant(value) == "STRING"
         else:
             fits = (F.schema_of_variant(value) == "BIGINT") & (typed >= 0)
-        if name == "min_severity":
-            fits = fits & (typed <= 255)
+        if name in LARGEST:
+            fits = fits & (typed <= LARGEST[name])
         valid = valid & F.when(value.isNull(), F.lit(True)).otherwise(F.coalesce(fits, F.lit(False)))
         filled.append(F.coalesce(typed, F.lit(DEFAULTS[name]).cast(kind)).alias(name))
     urls = F.transform_values(webhooks, lambda _, v: F.try_variant_get(v, "$", "string"))

@@ -20,24 +20,30 @@ class BatchTable:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def read(self) -> DataFrame:
-        schema = f"{self.schema}, batch_id BIGINT"
+    def _scan(self, path: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(self.path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
+    def read(self) -> DataFrame:
+        return self._scan(self.path, f"{self.schema}, batch_id BIGINT")
+
     def at(self, batch_id: int) -> DataFrame:
-        return self.read().where(F.col("batch_id") == batch_id).drop("batch_id")
+        """Rows of one batch, without listing the others."""
+        return self._scan(f"{self.path}/batch_id={batch_id}", self.schema)
+
+    def has(self, batch_id: int) -> bool:
+        return not self.at(batch_id).isEmpty()
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
 
 
 class LedgerTable(BatchTable):
-    """Seen fingerprints.
+    """Seen fingerprints after each batch; batch ids are consecutive.
 
     With a cap every batch holds the whole ledger, at most ``cap`` rows. Without one a
     batch holds only its own inserts, so that a poll never rewrites older fingerprints.
@@ -49,13 +55,9 @@ class LedgerTable(BatchTable):
 
     def before(self, batch_id: int) -> DataFrame:
         """The ledger as the batches before ``batch_id`` left it."""
-        rows = self.read().where(F.col("batch_id") < batch_id)
         if self.cap is not None:
-            rows = rows.where(F.col("batch_id") == rows.agg(F.max("batch_id")).scalar())
-        return rows.select(*LEDGER_COLUMNS)
-
-    def current(self) -> DataFrame:
-        return self.before(2**62)
+            return self.at(batch_id - 1)
+        return self.read().where(F.col("batch_id") < batch_id).drop("batch_id")
 
     def insert(self, sightings: DataFrame, batch_id: int) -> None:
         """Record ``sightings``, none of which the ledger holds yet."""
