@@ -5,25 +5,16 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from newsdesk.functions.barrier import computed_once
 from newsdesk.functions.replies import is_text, json_pair, whole_value
 
 TEXT_FIELDS = ("category", "read", "confidence")
 FIELD_POSITIONS = {"category": 0, "read": 1, "severity": 2, "confidence": 3}
 
 
-def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns that later projections and filters read instead of repeating.
-
-    Spark moves filters below ordinary projections by substituting their expressions,
-    which would parse a text once per use. It does not move them below a generator.
-    """
-    row = F.struct(*[value.alias(name) for name, value in columns.items()])
-    return df.select("*", F.inline(F.array(row)))
-
-
 def with_json(df: DataFrame, text: str, into: str) -> DataFrame:
     """Add the VARIANT of a text that is exactly one JSON value, else null."""
     parsed = computed_once(df, {"_pair": json_pair(F.col(text))})

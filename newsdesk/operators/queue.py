@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from newsdesk.functions.replies import MAX_SEVERITY
 from newsdesk.operators.rank import ranked
 from newsdesk.operators.reads import is_cleared
+from newsdesk.session import cut_lineage
 
 
 def in_order(*sequence: str) -> list:
@@ -63,17 +64,19 @@ def queue_flow(reads: DataFrame, capacity: int, min_severity: int) -> DataFrame:
     ``S(t) - min(0, min of S up to t)`` with ``S(t) = arrivals so far - capacity * polls so far``.
     The departures of exactly severity s are the difference of two neighbouring queues.
 
-    Result: ``severity, poll_id, reads, new, waiting, left_before, left, stronger`` where
-    ``reads`` counts all reads of the poll, ``new`` the cards it added, ``waiting`` cards
-    just before its pops, ``left_before`` and ``left`` departures of the severity before
-    and after its pops, and ``stronger`` its pops of higher severities. The rows are
-    bounded by the clock (polls x 4), not by the data.
+    Result: ``severity, poll_id, reads, new, arrived, left_before, left, stronger`` where
+    ``reads`` counts all reads of the poll, ``new`` the cards it added, ``arrived`` cards
+    so far, ``left_before`` and ``left`` departures before and after its pops, and
+    ``stronger`` its pops of higher severities. The rows are bounded by the clock
+    (polls x 4), not by the data, so the table is written down and used freely.
     """
     floors = range(1, MAX_SEVERITY + 1)
     card = is_cleared(min_severity)
-    per_poll = reads.groupBy("poll_id").agg(
-        F.count("*").alias("reads"),
-        *[F.count_if(card & (F.col("severity") >= s)).alias(f"n{s}") for s in floors],
+    per_poll = cut_lineage(
+        reads.groupBy("poll_id").agg(
+            F.count("*").alias("reads"),
+            *[F.count_if(card & (F.col("severity") >= s)).alias(f"n{s}") for s in floors],
+        )
     )
     polls = per_poll.agg(F.min("poll_id").alias("lo"), F.max("poll_id").alias("hi")).select(
         F.explode(F.sequence("lo", "hi")).alias("poll_id")
@@ -86,10 +89,10 @@ def queue_flow(reads: DataFrame, capacity: int, min_severity: int) -> DataFrame:
     past = step.rowsBetween(W.unboundedPreceding, 0)
     above = W.partitionBy("poll_id").orderBy(F.desc("floor"))
 
-    def own(name: str):
+    def own(name: str) -> Column:
         return F.col(name) - F.lag(name, 1, 0).over(above)
 
-    return (
+    return cut_lineage(
         grid.withColumn("arrived", F.sum("n").over(past))
         .withColumn("surplus", F.col("arrived") - capacity * F.row_number().over(step))
         .withColumn("backlog", F.col("surplus") - F.least(F.lit(0), F.min("surplus").over(past)))
@@ -101,51 +104,63 @@ def queue_flow(reads: DataFrame, capacity: int, min_severity: int) -> DataFrame:
             "reads",
             own("n").alias("new"),
             own("arrived").alias("arrived"),
-            own("gone").alias("left"),
             own("gone_before").alias("left_before"),
+            own("gone").alias("left"),
             F.lag(F.col("gone") - F.col("gone_before"), 1, 0).over(above).alias("stronger"),
         )
-        .withColumn("waiting", F.col("arrived") - F.col("left_before"))
-        .drop("arrived")
     )
 
 
-def queue_replay(reads: DataFrame, capacity: int, min_severity: int, *sequence: str) -> DataFrame:
+def queue_replay(reads: DataFrame, flow: DataFrame, min_severity: int, *sequence: str) -> DataFrame:
     """The cards that left the queue over a poll history, with ``left_poll`` and ``place``.
 
-    Within a severity cards leave in order of arrival, so the r-th arrival is the r-th to
-    leave. Departures are expanded from the flow table (never more than capacity per
-    poll) and meet the cards by their unique (severity, place in line).
+    ``sequence`` identifies a card and orders the cards of a poll. Within a severity
+    cards leave in order of arrival, so the r-th arrival is the r-th to leave. Only polls
+    up to the one in which a severity's last leaver arrived take part in the ranking.
+    Departures are expanded from the flow (never more than capacity per poll) and meet
+    the cards by their unique (severity, place in line).
     """
-    departures = (
-        queue_flow(reads, capacity, min_severity)
-        .where(F.col("left") > F.col("left_before"))
-        .select(
-            "severity",
-            F.col("poll_id").alias("left_poll"),
-            "stronger",
-            "left_before",
-            F.explode(F.sequence(F.col("left_before") + 1, F.col("left"))).alias("line"),
-        )
+    departures = flow.where(F.col("left") > F.col("left_before")).select(
+        "severity",
+        F.col("poll_id").alias("left_poll"),
+        "stronger",
+        "left_before",
+        F.explode(F.sequence(F.col("left_before") + 1, F.col("left"))).alias("line"),
+    )
+    totals = flow.groupBy("severity").agg(F.max("left").alias("total"))
+    reach = (
+        flow.join(totals, "severity")
+        .where(F.col("arrived") - F.col("new") < F.col("total"))
+        .groupBy("severity")
+        .agg(F.max("poll_id").alias("last_poll"))
     )
     cards = reads.where(is_cleared(min_severity))
-    lined_up = ranked(cards, ["poll_id", *sequence], keys=["severity"], name="line")
-    return (
-        lined_up.join(departures, ["severity", "line"])
-        .withColumn("place", F.col("stronger") + F.col("line") - F.col("left_before"))
-        .drop("line", "stronger", "left_before")
+    lining_up = (
+        cards.select("severity", "poll_id", *sequence)
+        .join(F.broadcast(reach), "severity")
+        .where(F.col("poll_id") <= F.col("last_poll"))
+        .drop("last_poll")
+    )
+    left = (
+        ranked(lining_up, ["poll_id", *sequence], keys=["severity"], name="line")
+        .join(departures, ["severity", "line"])
+        .select(
+            *sequence,
+            "left_poll",
+            (F.col("stronger") + F.col("line") - F.col("left_before")).alias("place"),
+        )
     )
+    return cards.join(left, list(sequence))
 
 
-def poll_summary(reads: DataFrame, capacity: int, min_severity: int, cap: int | None) -> DataFrame:
+def poll_summary(flow: DataFrame, cap: int | None) -> DataFrame:
     """Per poll: cards added, and queue and ledger length right after it, before its pops."""
     total = F.sum("reads").over(W.orderBy("poll_id").rowsBetween(W.unboundedPreceding, 0))
     return (
-        queue_flow(reads, capacity, min_severity)
-        .groupBy("poll_id")
+        flow.groupBy("poll_id")
         .agg(
             F.sum("new").alias("new"),
-            F.sum("waiting").alias("queued"),
+            F.sum(F.col("arrived") - F.col("left_before")).alias("queued"),
             F.max("reads").alias("reads"),
         )
         .select(

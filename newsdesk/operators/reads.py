@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from newsdesk.functions import replies as R
+from newsdesk.functions.barrier import computed_once
 from newsdesk.functions.text import fingerprint, grams, tokens, unicode_trim
-from newsdesk.operators.decode import computed_once, with_reply
+from newsdesk.operators.decode import with_reply
 from newsdesk.sources.catalogue import BANDS
 
 READ_COLUMNS = ("category", "read", "severity", "confidence")
@@ -161,10 +162,9 @@ def swept(items: DataFrame, sweeps: Mapping[str, Sequence[str]]) -> DataFrame:
             for sweep, terms in sweeps.items()
         ]
     )
-    return (
-        _with_grams(items, sweeps)
-        .withColumn("_hit", F.explode(F.filter(hits, lambda h: F.size(h["terms"]) > 0)))
-        .select(*items.columns, "_hit.sweep", "_hit.terms")
+    matched = {"_hits": F.filter(hits, lambda h: F.size(h["terms"]) > 0)}
+    return computed_once(_with_grams(items, sweeps), matched).select(
+        *items.columns, F.inline("_hits")
     )
 
 

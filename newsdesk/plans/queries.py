@@ -92,7 +92,7 @@ def tuning_clamp(spark: SparkSession, folder: str) -> DataFrame:
 def nonblank_items(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of every document that are not blank."""
     lines = V.table(spark, folder, "documents").select(
-        "doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "title")
+        "doc_id", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "title")
     )
     return dedupe.not_blank(lines)
 
@@ -344,16 +344,17 @@ def drip_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _replayed(spark: SparkSession, folder: str) -> DataFrame:
-    columns = ("event_id", "poll_id", "title", "link", "source", *reads.READ_COLUMNS, "failure")
-    return queue.queue_replay(
-        V.event_reads(spark, folder).select(*columns), CAPACITY, FLOOR, "event_id"
-    )
+def _history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """All reads, and the flow of their cards through the queue."""
+    history = V.event_reads(spark, folder)
+    return history, queue.queue_flow(history, CAPACITY, FLOOR)
 
 
 def queue_replay(spark: SparkSession, folder: str) -> DataFrame:
-    history = V.event_reads(spark, folder).select("event_id", "poll_id", "category", "severity")
-    return queue.queue_replay(history, CAPACITY, FLOOR, "event_id").drop("category")
+    history, flow = _history(spark, folder)
+    return queue.queue_replay(history, flow, FLOOR, "event_id").select(
+        "event_id", "severity", "poll_id", "left_poll", "place"
+    )
 
 
 # Status
@@ -370,11 +371,8 @@ def poll_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def poll_summary(spark: SparkSession, folder: str) -> DataFrame:
-    return _summary(spark, folder).withColumn("line", status.poll_line())
-
-
-def _summary(spark: SparkSession, folder: str) -> DataFrame:
-    return queue.poll_summary(V.event_reads(spark, folder), CAPACITY, FLOOR, dedupe.LEDGER_CAP)
+    _, flow = _history(spark, folder)
+    return queue.poll_summary(flow, dedupe.LEDGER_CAP).withColumn("line", status.poll_line())
 
 
 def posted_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -383,8 +381,9 @@ def posted_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def status_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshot at the end of the replayed history."""
-    popped = _outcomes(_replayed(spark, folder), spark).select("event_id", "outcome")
-    history = V.event_reads(spark, folder).select("event_id", "poll_id", "category", "severity")
+    history, flow = _history(spark, folder)
+    replayed = queue.queue_replay(history, flow, FLOOR, "event_id")
+    popped = _outcomes(replayed, spark).select("event_id", "outcome")
     state = history.join(popped, "event_id", "left").withColumn(
         "queued", reads.is_cleared(FLOOR) & F.col("outcome").isNull()
     )
@@ -408,12 +407,12 @@ def feedcheck_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 def _activity(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the replayed history: each poll's line, then those of its pops."""
-    polls = _summary(spark, folder).select(
+    history, flow = _history(spark, folder)
+    polls = queue.poll_summary(flow, dedupe.LEDGER_CAP).select(
         "poll_id", F.lit(0).cast("bigint").alias("place"), status.poll_line().alias("line")
     )
-    pops = _outcomes(_replayed(spark, folder), spark).select(
-        F.col("left_poll").alias("poll_id"), "place", "line"
-    )
+    replayed = queue.queue_replay(history, flow, FLOOR, "event_id")
+    pops = _outcomes(replayed, spark).select(F.col("left_poll").alias("poll_id"), "place", "line")
     return polls.unionByName(pops)
 
 

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsdesk.functions.barrier import computed_once
+
 ITEM_COLUMNS = ("feed_ord", "entry_ord", "title", "link", "source")
 
 # RSS 2.0 nests its items in the channel, RSS 1.0 puts them beside it, Atom has entries.
@@ -81,11 +83,9 @@ def parsed_payloads(payloads: DataFrame) -> DataFrame:
         F.lit(False),
     )
     rest = [c for c in payloads.columns if c != "body"]
-    return (
-        payloads.withColumn("_feed", feed)
-        .withColumn("ok", ok)
-        .select(*rest, "ok", F.when(F.col("ok"), found).otherwise(none).alias("entries"))
-    )
+    parsed = computed_once(payloads, {"_feed": feed}).withColumn("ok", ok)
+    read = computed_once(parsed, {"entries": F.when(F.col("ok"), found).otherwise(none)})
+    return read.select(*rest, "ok", "entries")
 
 
 def items_of(parsed: DataFrame) -> DataFrame:

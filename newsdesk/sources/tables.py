@@ -6,7 +6,7 @@ A batch that is run again overwrites its own partition, so a retry changes nothi
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsdesk.operators.dedupe import LEDGER_CAP, LEDGER_COLUMNS, capped, upserted
@@ -14,6 +14,11 @@ from newsdesk.operators.dedupe import LEDGER_CAP, LEDGER_COLUMNS, capped, upsert
 LEDGER_SCHEMA = "fp STRING, poll_id BIGINT, feed_ord INT, entry_ord BIGINT"
 
 
+def one_row(spark: SparkSession, **values: Column) -> DataFrame:
+    """A one-row table in one partition, so that it is written as one file."""
+    return spark.range(0, 1, 1, 1).select(*[v.alias(name) for name, v in values.items()])
+
+
 class BatchTable:
     """Rows by ``batch_id`` under one folder; an absent folder is an empty table."""
 

@@ -21,7 +21,7 @@ from newsdesk.operators import dedupe, delivery, queue, reads, status
 from newsdesk.sources import catalogue
 from newsdesk.sources.items import ITEM_COLUMNS
 from newsdesk.sources.params import Params, reload_params
-from newsdesk.sources.tables import BatchTable, LedgerTable
+from newsdesk.sources.tables import BatchTable, LedgerTable, one_row
 
 ITEM_SCHEMA = "feed_ord INT, entry_ord BIGINT, title STRING, link STRING, source STRING, fp STRING"
 READ_SCHEMA = "category STRING, read STRING, severity INT, confidence STRING"
@@ -118,13 +118,15 @@ class Desk:
         self._finish_poll(poll_id, new, seen, f"poll: {new} new · {queued} queued · {seen} seen")
 
     def _finish_poll(self, poll_id: int, new: int, seen: int, line: str) -> None:
-        unix = int(self.clock())
+        unix, place = self._now(), F.lit(poll_id).cast("bigint")
         self.poll_log.write(
-            self.spark.createDataFrame([(unix, 0, poll_id, line)], LOG_SCHEMA), poll_id
-        )
-        self.polls.write(
-            self.spark.createDataFrame([(new, seen, unix)], self.polls.schema), poll_id
+            one_row(self.spark, unix=unix, cycle=F.lit(0), place=place, line=F.lit(line)), poll_id
         )
+        counts = {"new": F.lit(new).cast("bigint"), "seen": F.lit(seen).cast("bigint")}
+        self.polls.write(one_row(self.spark, **counts, unix=unix), poll_id)
+
+    def _now(self) -> Column:
+        return F.lit(int(self.clock())).cast("bigint")
 
     def _queued(self) -> int:
         """Cards waiting, from the one-row records of finished polls and ticks."""
@@ -171,7 +173,7 @@ class Desk:
         marks = left.select("severity", "_last.*").unionByName(self.drained.at(tick_id - 1))
         last = marks.groupBy("severity").agg(F.max(F.struct(*ARRIVAL)).alias("_last"))
         self.drained.write(last.select("severity", "_last.*"), tick_id)
-        unix = F.lit(int(self.clock())).cast("bigint")
+        unix = self._now()
         sent = self.deliveries.at(tick_id)
         self.tick_log.write(
             sent.select(unix.alias("unix"), F.lit(1).alias("cycle"), "place", "line"), tick_id

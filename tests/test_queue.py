@@ -35,9 +35,10 @@ def test_replay(spark, seed, capacity, floor):
     rows = history(seed, 40, 150)
     reads = spark.createDataFrame(rows, "poll_id bigint, at bigint, category string, severity int").repartition(6)
     left, summary, waiting = simulate(rows, capacity, floor)
-    replayed = queue_replay(reads, capacity, floor, "at").collect()
+    flow = queue_flow(reads, capacity, floor)
+    replayed = queue_replay(reads, flow, floor, "at").collect()
     assert sorted((r.at, r.left_poll, r.place) for r in replayed) == sorted(left)
-    got = {r.poll_id: (r.new, r.queued, r.seen) for r in poll_summary(reads, capacity, floor, None).collect()}
+    got = {r.poll_id: (r.new, r.queued, r.seen) for r in poll_summary(flow, None).collect()}
     assert got == summary
     assert len({r.at for r in replayed} | {r[1] for r in waiting}) == len(replayed) + len(waiting)
 
