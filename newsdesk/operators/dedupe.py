@@ -1,7 +1,7 @@
 """First-wins de-duplication and the ledger of already seen fingerprints.
 
 A ledger row is ``fp`` plus the position of its first insert, ``poll_id, feed_ord,
-entry_ord``; positions are unique and grow with time.
+entry_ord``, which grows with time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,10 @@ ITEM_POSITION = ("feed_ord", "entry_ord")
 SEEN_POSITION = ("poll_id", *ITEM_POSITION)
 LEDGER_COLUMNS = ("fp", *SEEN_POSITION)
 
+# Total orders: items of one feed that landed in several payloads share a position.
+BATCH_ORDER = (*ITEM_POSITION, "fp")
+INSERT_ORDER = (*SEEN_POSITION, "fp")
+
 # Fixed value: fingerprints the ledger remembers unless told otherwise.
 LEDGER_CAP = 4000
 
@@ -57,6 +61,11 @@ def suppressed(batch: DataFrame, ledger: DataFrame) -> DataFrame:
     return batch.join(ledger.select("fp"), "fp", "left_semi").select(*batch.columns)
 
 
+def known(ledger: DataFrame, batch: DataFrame) -> DataFrame:
+    """The part of a long ledger that a batch can meet, found without moving the rest."""
+    return ledger.join(batch.select("fp"), "fp", "left_semi").select(*ledger.columns)
+
+
 def seeded(batch: DataFrame, poll_id: int = 0) -> DataFrame:
     """Ledger of a first run: every gathered fingerprint, read or not."""
     return batch.select("fp", F.lit(poll_id).cast("bigint").alias("poll_id"), *ITEM_POSITION)
@@ -72,12 +81,33 @@ def capped(ledger: DataFrame, cap: int | None = LEDGER_CAP) -> DataFrame:
     """The ``cap`` fingerprints inserted last; re-sightings do not refresh their age."""
     if cap is None:
         return ledger
-    newest = [F.desc(c) for c in SEEN_POSITION]
+    newest = [F.desc(c) for c in INSERT_ORDER]
     if cap <= TOP_K_ROWS:
         return ledger.orderBy(*newest).limit(cap)
     return ranked(ledger, newest, name="_age").where(F.col("_age") <= cap).drop("_age")
 
 
+def evictable(batch: DataFrame, ledger: DataFrame, cap: int) -> DataFrame:
+    """Known items of a batch, and after how many inserts the ledger forgets each (``limit``)."""
+    room = cap - ledger.count()
+    limits = ranked(ledger.select(*LEDGER_COLUMNS), list(INSERT_ORDER), name="_age").select(
+        "fp", (F.col("_age") + room).alias("limit")
+    )
+    return batch.join(limits, "fp").select(*batch.columns, "limit")
+
+
+def forgotten(pending: DataFrame, inserted: DataFrame) -> DataFrame:
+    """Items of :func:`evictable` whose limit is reached by the inserts before their turn."""
+    columns = [*BATCH_ORDER, "limit"]
+    both = pending.select(*columns).unionByName(
+        inserted.select(*BATCH_ORDER, F.lit(None).cast("bigint").alias("limit"))
+    )
+    placed = ranked(both, list(BATCH_ORDER), name="_all").withColumn("_new", F.col("limit").isNull())
+    counted = ranked(placed, list(BATCH_ORDER), keys=["_new"], name="_own")
+    reached = counted.where(F.col("_all") - F.col("_own") >= F.col("limit"))
+    return pending.join(reached.select("fp"), "fp", "left_semi").select(*pending.columns)
+
+
 def first_sightings(history: DataFrame, seed_poll: int = 0) -> DataFrame:
     """Items of a poll history read once: first sighting of a fingerprint after the seed."""
     firsts = first_wins(with_fingerprint(not_blank(history)), "fp", SEEN_POSITION)

@@ -78,13 +78,12 @@ def queue_flow(reads: DataFrame, capacity: int, min_severity: int) -> DataFrame:
             *[F.count_if(card & (F.col("severity") >= s)).alias(f"n{s}") for s in floors],
         )
     )
-    polls = per_poll.agg(F.min("poll_id").alias("lo"), F.max("poll_id").alias("hi")).select(
-        F.explode(F.sequence("lo", "hi")).alias("poll_id")
-    )
+    first, last = per_poll.agg(F.min("poll_id"), F.max("poll_id")).head()
+    spark = reads.sparkSession
+    polls = spark.range(0) if first is None else spark.range(first, last + 1)
     levels = F.array(*[F.struct(F.lit(s).alias("floor"), F.col(f"n{s}").alias("n")) for s in floors])
-    grid = polls.join(per_poll, "poll_id", "left").na.fill(0).select(
-        "poll_id", "reads", F.inline(levels)
-    )
+    every = polls.withColumnRenamed("id", "poll_id").join(per_poll, "poll_id", "left").na.fill(0)
+    grid = every.select("poll_id", "reads", F.inline(levels))
     step = W.partitionBy("floor").orderBy("poll_id")
     past = step.rowsBetween(W.unboundedPreceding, 0)
     above = W.partitionBy("poll_id").orderBy(F.desc("floor"))

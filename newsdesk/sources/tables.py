@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.operators.dedupe import LEDGER_CAP, LEDGER_COLUMNS, capped, upserted
+from newsdesk.operators.dedupe import LEDGER_CAP, LEDGER_COLUMNS, capped
 
 LEDGER_SCHEMA = "fp STRING, poll_id BIGINT, feed_ord INT, entry_ord BIGINT"
 
@@ -65,8 +65,12 @@ class LedgerTable(BatchTable):
         return self.read().where(F.col("batch_id") < batch_id).drop("batch_id")
 
     def insert(self, sightings: DataFrame, batch_id: int) -> None:
-        """Record ``sightings``, none of which the ledger holds yet."""
+        """Append ``sightings`` and evict.
+
+        The ledger holds none of them, or has forgotten them in the course of this very
+        batch; the cap then removes their older rows.
+        """
         fresh = sightings.select(*LEDGER_COLUMNS)
         if self.cap is not None:
-            fresh = capped(upserted(self.before(batch_id), fresh), self.cap)
+            fresh = capped(self.before(batch_id).unionByName(fresh), self.cap)
         self.write(fresh, batch_id)

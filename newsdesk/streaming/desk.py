@@ -25,12 +25,13 @@ from newsdesk.sources.tables import BatchTable, LedgerTable, one_row
 
 ITEM_SCHEMA = "feed_ord INT, entry_ord BIGINT, title STRING, link STRING, source STRING, fp STRING"
 READ_SCHEMA = "category STRING, read STRING, severity INT, confidence STRING"
+READS_SCHEMA = f"{ITEM_SCHEMA}, {READ_SCHEMA}, error STRING"
 CARD_SCHEMA = f"{ITEM_SCHEMA}, {READ_SCHEMA}, poll_id BIGINT"
 POSTED_SCHEMA = ", ".join(f"posted_{band} BIGINT" for band in catalogue.BANDS)
 LOG_SCHEMA = "unix BIGINT, cycle INT, place BIGINT, line STRING"
 
 # Position of a card in its severity's line.
-ARRIVAL = dedupe.SEEN_POSITION
+ARRIVAL = dedupe.INSERT_ORDER
 
 # Maps unseen items to reads with an ``error`` column.
 ItemReader = Callable[[DataFrame], DataFrame]
@@ -70,12 +71,13 @@ class Desk:
             return BatchTable(spark, f"{root}/{name}", schema)
 
         self.ledger = LedgerTable(spark, f"{root}/ledger", cap)
-        self.reads = table("reads", f"{ITEM_SCHEMA}, {READ_SCHEMA}, error STRING")
-        self.read_done = table("read_done", "reads BIGINT")
+        self.gathered = table("gathered", ITEM_SCHEMA)
         self.cards = table("cards", CARD_SCHEMA)
         self.polls = table("polls", "new BIGINT, seen BIGINT, unix BIGINT")
         self.popped = table("popped", f"{CARD_SCHEMA}, place BIGINT")
-        self.drained = table("drained", "severity INT, poll_id BIGINT, feed_ord INT, entry_ord BIGINT")
+        self.drained = table(
+            "drained", "severity INT, poll_id BIGINT, feed_ord INT, entry_ord BIGINT, fp STRING"
+        )
         self.deliveries = table(
             "deliveries",
             f"{CARD_SCHEMA}, place BIGINT, channel STRING, failure STRING, outcome STRING, line STRING",
@@ -97,19 +99,21 @@ class Desk:
         first_run, self.started = not self.started and self.ledger.before(poll_id).isEmpty(), True
         if self.polls.has(poll_id):
             return
-        again = reads.failed(self.reads.at(poll_id - 1)).select(*ITEM_COLUMNS)
+        again = reads.failed(self.reads_of(poll_id - 1)).select(*ITEM_COLUMNS)
         items = offered.select(*ITEM_COLUMNS).withColumn("entry_ord", F.col("entry_ord").cast("bigint"))
-        batch = dedupe.gathered(items.unionByName(again))
+        self.gathered.write(dedupe.gathered(items.unionByName(again)), poll_id)
+        batch, ledger = self.gathered.at(poll_id), self.ledger.before(poll_id)
         if first_run:
             self.ledger.insert(dedupe.seeded(batch, poll_id), poll_id)
             seen = self.ledger.before(poll_id + 1).count()
-            gathered = seen if seen != self.ledger.cap else batch.count()
-            self._finish_poll(poll_id, 0, seen, status.seed_line(gathered))
+            self._finish_poll(poll_id, 0, seen, status.seed_line(batch.count()))
             return
-        if not self.read_done.has(poll_id):
-            self.reads.write(self.reader(dedupe.unseen(batch, self.ledger.before(poll_id))), poll_id)
-            self.read_done.write(self.reads.at(poll_id).agg(F.count("*").alias("reads")), poll_id)
-        good = reads.succeeded(self.reads.at(poll_id))
+        if self.ledger.cap is None:
+            ledger = dedupe.known(ledger, batch)
+        self._ask(dedupe.unseen(batch, ledger), poll_id, 0)
+        if self.ledger.cap is not None:
+            self._ask_forgotten(batch, ledger, poll_id)
+        good = reads.succeeded(self.reads_of(poll_id))
         self.ledger.insert(dedupe.seeded(good, poll_id), poll_id)
         cards = reads.cleared(good, self.params.min_severity)
         self.cards.write(cards.withColumn("poll_id", F.lit(poll_id).cast("bigint")), poll_id)
@@ -117,6 +121,44 @@ class Desk:
         queued = self._queued() + new
         self._finish_poll(poll_id, new, seen, f"poll: {new} new · {queued} queued · {seen} seen")
 
+    def _round(self, number: int) -> tuple[BatchTable, BatchTable]:
+        """Reads of one round of a poll, and the record that they are complete."""
+        rows = BatchTable(self.spark, f"{self.root}/reads/round={number}", READS_SCHEMA)
+        return rows, BatchTable(self.spark, f"{self.root}/read_done/round={number}", "reads BIGINT")
+
+    def _ask(self, items: DataFrame, poll_id: int, number: int) -> None:
+        """Read items once: a finished round is never asked again."""
+        rows, done = self._round(number)
+        if not done.has(poll_id):
+            rows.write(self.reader(items), poll_id)
+            done.write(rows.at(poll_id).agg(F.count("*").alias("reads")), poll_id)
+
+    def _ask_forgotten(self, batch: DataFrame, ledger: DataFrame, poll_id: int) -> None:
+        """Read again the known items that this poll's inserts evict before their turn.
+
+        Items are taken in batch order, and each successful read may push the oldest
+        fingerprint out of a full ledger. Re-reads are inserts too, so rounds repeat
+        until none is due; most polls have none.
+        """
+        known = dedupe.evictable(batch, ledger, self.ledger.cap)
+        number = 1
+        while True:
+            asked = self.reads_of(poll_id, number)
+            pending = known.join(asked.select("fp"), "fp", "left_anti").select(*known.columns)
+            due = dedupe.forgotten(pending, reads.succeeded(asked)).drop("limit")
+            if due.isEmpty() and not self._round(number)[1].has(poll_id):
+                return
+            self._ask(due, poll_id, number)
+            number += 1
+
+    def reads_of(self, poll_id: int, rounds: int | None = None) -> DataFrame:
+        """Finished rounds of reads of one poll, or the first ``rounds`` of them."""
+        found, number = self._round(0)[0].at(poll_id), 1
+        while number != rounds and self._round(number)[1].has(poll_id):
+            found = found.unionByName(self._round(number)[0].at(poll_id))
+            number += 1
+        return found
+
     def _finish_poll(self, poll_id: int, new: int, seen: int, line: str) -> None:
         unix, place = self._now(), F.lit(poll_id).cast("bigint")
         self.poll_log.write(
