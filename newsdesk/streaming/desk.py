@@ -140,6 +140,8 @@ class Desk:
         fingerprint out of a full ledger. Re-reads are inserts too, so rounds repeat
         until none is due; most polls have none.
         """
+        if ledger.count() + batch.count() <= self.ledger.cap:
+            return
         known = dedupe.evictable(batch, ledger, self.ledger.cap)
         number = 1
         while True:
