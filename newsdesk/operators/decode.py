@@ -12,13 +12,14 @@ from newsdesk.functions.barrier import computed_once
 from newsdesk.functions.replies import is_text, json_pair, whole_value
 
 TEXT_FIELDS = ("category", "read", "confidence")
+JSON_SPACE = " \t\r\n"
 FIELD_POSITIONS = {"category": 0, "read": 1, "severity": 2, "confidence": 3}
 
 
 def with_json(df: DataFrame, text: str, into: str) -> DataFrame:
     """Add the VARIANT of a text that is exactly one JSON value, else null."""
     parsed = computed_once(df, {"_pair": json_pair(F.col(text))})
-    return parsed.withColumn(into, whole_value(F.col("_pair"), F.col(text))).drop("_pair")
+    return computed_once(parsed, {into: whole_value(F.col("_pair"), F.col(text))}).drop("_pair")
 
 
 def with_reply(df: DataFrame, raw: str, into: str) -> DataFrame:
@@ -28,17 +29,18 @@ def with_reply(df: DataFrame, raw: str, into: str) -> DataFrame:
     defaults; a text field that is present but not a string, a duplicate key or trailing
     text makes the whole reply an error, so that its item is offered again.
     """
+    opening = F.left(F.ltrim(F.col(raw), F.lit(JSON_SPACE)), F.lit(1))
+    parsed = computed_once(with_json(df, raw, "_json"), {"_opening": opening})
+    is_object, is_array = F.col("_opening") == "{", F.col("_opening") == "["
     fields = {
-        f"_{name}": F.coalesce(
-            F.try_variant_get("_json", f"$.{name}", "variant"),
-            F.try_variant_get("_json", f"$[{at}]", "variant"),
-        )
+        f"_{name}": F.when(
+            is_object, F.try_variant_get("_json", f"$.{name}", "variant")
+        ).when(is_array, F.try_variant_get("_json", f"$[{at}]", "variant"))
         for name, at in FIELD_POSITIONS.items()
     }
-    kind = F.schema_of_variant("_json")
     too_long = F.try_variant_get("_json", f"$[{len(FIELD_POSITIONS)}]", "variant").isNotNull()
-    shaped = kind.startswith("OBJECT") | (kind.startswith("ARRAY") & ~too_long)
-    parsed = computed_once(with_json(df, raw, "_json"), {**fields, "_shaped": shaped})
+    shaped = F.col("_json").isNotNull() & (is_object | (is_array & ~too_long))
+    parsed = computed_once(parsed, {**fields, "_shaped": shaped})
     texts = [F.coalesce(is_text(F.col(f"_{name}")), F.lit(True)) for name in TEXT_FIELDS]
     reply = F.struct(
         *[
@@ -48,7 +50,9 @@ def with_reply(df: DataFrame, raw: str, into: str) -> DataFrame:
         F.col("_severity").alias("severity"),
     )
     valid = reduce(and_, texts, F.col("_shaped"))
-    return computed_once(parsed, {into: F.when(valid, reply)}).drop("_json", "_shaped", *fields)
+    return computed_once(parsed, {into: F.when(valid, reply)}).drop(
+        "_json", "_opening", "_shaped", *fields
+    )
 
 
 def with_response(df: DataFrame, body: str, into: str) -> DataFrame:

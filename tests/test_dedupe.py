@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from newsdesk.operators import dedupe
@@ -85,11 +86,24 @@ def test_ledger_table_reads_what_earlier_batches_left(spark, tmp_path):
         assert {r.fp for r in table.before(2).collect()} == (set("abcde") if cap is None else set("bcde"))
 
 
-def test_ranks_are_exact_with_hot_keys(spark):
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_ranks_are_exact_with_hot_keys(spark, coalesce):
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, coalesce)
+    try:
+        check_ranks(spark, many_partitions=coalesce == "false")
+    finally:
+        spark.conf.set(name, before)
+
+
+def check_ranks(spark, many_partitions):
     rng = random.Random(5)
     rows = [("hot" if rng.random() < 0.5 else f"k{rng.randint(0, 9)}", rng.randint(1, 4), at) for at in range(3000)]
     df = spark.createDataFrame(rows, "key string, severity int, at bigint").repartition(11)
     order = [F.desc("severity"), "at"]
+    if many_partitions:
+        assert df.orderBy("key", *order).rdd.getNumPartitions() > 1
     got = {(r.key, r.at): r["rank"] for r in ranked(df, order, ["key"]).collect()}
     for key in {r[0] for r in rows}:
         line = sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2]))

@@ -1,5 +1,6 @@
 """Every registered query against its SQL restatement on the smallest given tables."""
 
+import re
 from pathlib import Path
 
 import duckdb
@@ -39,5 +40,43 @@ def test_matches_oracle(spark, duck, name):
     assert sorted(map(repr, got)) == sorted(map(repr, wanted))
 
 
+# Joins that pair every row with every other, and row-at-a-time or per-batch Python.
+UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+READERS = {"reader_replies"}
+
+
+@pytest.mark.parametrize("name", list(entry.queries()))
+def test_plan_stays_distributed_and_in_the_jvm(spark, name):
+    plan = executed_plan(entry.queries()[name](spark, str(FOLDER)))
+    assert not [operator for operator in UNWANTED if operator in plan]
+    assert ("MapInPandas" in plan) == (name in READERS)
+
+
+def executed_plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [
+        ("sweep_recent", {"event_id", "event_type", "ts"}),
+        ("severity_meter", {"event_id", "props"}),
+        ("fingerprint_docs", {"doc_id", "text", "source"}),
+        ("route_cards", {"event_id", "event_type", "props"}),
+        ("page_items", {"page_id", "url", "html"}),
+    ],
+)
+def test_scans_read_only_what_is_used(spark, name, columns):
+    plan = executed_plan(entry.queries()[name](spark, str(FOLDER)))
+    read = re.findall(r"ReadSchema: struct<(.*?)>", plan)
+    assert {field.split(":")[0] for schema in read for field in schema.split(",")} == columns
+
+
+def test_duplicates_are_combined_before_the_shuffle(spark):
+    plan = executed_plan(entry.queries()["batch_dedupe"](spark, str(FOLDER)))
+    before_shuffle = plan.split("Exchange")[-1]
+    assert "partial_min" in before_shuffle and plan.count("Exchange") == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
