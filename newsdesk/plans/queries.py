@@ -14,7 +14,7 @@ from newsdesk.functions.cards import CARD_TYPE, card_json, meter
 from newsdesk.functions.text import fingerprint
 from newsdesk.operators import dedupe, delivery, queue, reads, status
 from newsdesk.operators.decode import with_reply, with_response
-from newsdesk.operators.joins import with_band, with_channel, with_skin
+from newsdesk.operators.joins import sized, with_band, with_channel, with_skin
 from newsdesk.plans import views as V
 from newsdesk.session import checkpoint_folder
 from newsdesk.sources import catalogue, items, params
@@ -384,6 +384,7 @@ def status_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     history, flow = _history(spark, folder)
     replayed = queue.queue_replay(history, flow, FLOOR, "event_id")
     popped = _outcomes(replayed, spark).select("event_id", "outcome")
+    popped = sized(popped, queue.departed(flow))
     state = history.join(popped, "event_id", "left").withColumn(
         "queued", reads.is_cleared(FLOOR) & F.col("outcome").isNull()
     )

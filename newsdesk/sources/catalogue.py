@@ -113,6 +113,21 @@ def sweep_terms(spark: SparkSession) -> DataFrame:
     )
 
 
+def _terms_by(spark: SparkSession, column: str) -> dict[str, tuple[str, ...]]:
+    rows = sweep_terms(spark).collect()
+    return {name: tuple(r.term for r in rows if r[column] == name) for name in dict.fromkeys(r[column] for r in rows)}
+
+
+def sweeps(spark: SparkSession) -> dict[str, tuple[str, ...]]:
+    """Normalised terms of every sweep of the catalogue."""
+    return _terms_by(spark, "sweep")
+
+
+def lexicon(spark: SparkSession) -> dict[str, tuple[str, ...]]:
+    """Normalised terms of every band: those of its sweeps."""
+    return _terms_by(spark, "hint")
+
+
 def skins(spark: SparkSession) -> DataFrame:
     text = pa.string()
     columns = {"category": text, "label": text, "emoji": text, "color": pa.int32()}

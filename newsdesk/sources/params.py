@@ -79,6 +79,10 @@ class Params:
         period, tick = self.poll_minutes * 60, max(self.drip_seconds, 1)
         return max(1, -(-period // tick))
 
+    def poll_seconds(self) -> int:
+        """Time between polls: the nominal period rounded up to whole drip ticks."""
+        return self.ticks_per_poll() * max(self.drip_seconds, 1)
+
     def capacity_per_poll(self) -> int:
         return self.ticks_per_poll() * self.max_per_drop
 
@@ -106,15 +110,18 @@ def reload_params(spark: SparkSession, path: str, current: Params) -> Params:
 
 def save_tuning(
     spark: SparkSession, path: str, min_severity: int, poll_minutes: int, drip_seconds: int
-) -> str:
-    """The document at ``path`` with the three tuning keys clamped and replaced.
+) -> None:
+    """Clamp the three tuning keys and replace them in the document; other keys stay.
 
-    Other keys are kept as they are. The caller stores the returned text.
+    Spark writes the document as a folder of one text file, which :func:`load_params`
+    reads like a plain file.
     """
     document = json.loads(spark.read.text(path, wholetext=True).head()[0])
     tuned = Params().tuned(min_severity, poll_minutes, drip_seconds)
     document.update({key: getattr(tuned, key) for key in TUNING_KEYS})
-    return json.dumps(document, indent=2, ensure_ascii=False)
+    text = json.dumps(document, indent=2, ensure_ascii=False)
+    row = spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
+    row.write.mode("overwrite").text(path)
 
 
 def parsed_documents(documents: DataFrame, column: str = "document") -> DataFrame:

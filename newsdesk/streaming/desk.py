@@ -268,8 +268,8 @@ class Desk:
     # Queries
 
     def start_polls(self, items: DataFrame, once: bool = False) -> StreamingQuery:
-        """Poll a stream of items every ``poll_minutes``, or everything landed so far."""
-        period = f"{max(self.params.poll_minutes, 1)} minutes"
+        """Poll a stream of items at every due tick, or everything landed so far."""
+        period = f"{self.params.poll_seconds()} seconds"
         return (
             items.writeStream.foreachBatch(self.poll)
             .option("checkpointLocation", f"{self.root}/checkpoints/polls")

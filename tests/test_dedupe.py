@@ -120,3 +120,13 @@ def test_pop_and_remainder(spark):
         drained += [r.at for r in front.collect()]
         queue = spark.createDataFrame(remaining(queue, front, "at").collect(), queue.schema)
     assert drained == [3, 2, 1, 5, 0, 4]
+
+
+def test_unreadable_ledger_counts_as_empty(spark, tmp_path):
+    table = LedgerTable(spark, str(tmp_path / "ledger"))
+    table.insert(ledger_of(spark, [("a", 0, 0, 0)]), 0)
+    for file in (tmp_path / "ledger" / "batch_id=0").glob("part-*"):
+        file.write_bytes(b"not a table")
+    for checksum in (tmp_path / "ledger" / "batch_id=0").glob(".part-*"):
+        checksum.unlink()
+    assert table.before(1).isEmpty()

@@ -39,9 +39,11 @@ def test_clamps(spark, tmp_path):
     path = tmp_path / "params.json"
     path.write_text(json.dumps(GOOD))
     for asked, wanted in (((0, 0, 1), (1, 1, 5)), ((9, 7, 60), (4, 7, 60))):
-        saved = json.loads(save_tuning(spark, str(path), *asked))
-        assert (saved["min_severity"], saved["poll_minutes"], saved["drip_seconds"]) == wanted
-        assert saved["webhooks"] == GOOD["webhooks"] and saved["note"] == [1]
+        save_tuning(spark, str(path), *asked)
+        saved = load_params(spark, str(path))
+        assert (saved.min_severity, saved.poll_minutes, saved.drip_seconds) == wanted
+        assert saved.webhooks == GOOD["webhooks"]
+        assert json.loads(spark.read.text(str(path), wholetext=True).head()[0])["note"] == [1]
 
 
 def test_reload_keeps_the_old_parameters(spark, tmp_path):

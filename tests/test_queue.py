@@ -53,5 +53,6 @@ def test_flow_counts_add_up(spark):
 
 def test_capacity_follows_the_ticks():
     assert Params().capacity_per_poll() == 7
+    assert Params().poll_seconds() == 630
     assert Params(drip_seconds=600, max_per_drop=3).capacity_per_poll() == 3
     assert Params(poll_minutes=1, drip_seconds=90).capacity_per_poll() == 1
