@@ -2,6 +2,7 @@
 
 import json
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -85,8 +86,8 @@ def simulate(spark, polls, ticks_per_poll, per_tick, floor, cap=None):
     return seen, popped, asked, queue
 
 
-def run(spark, root, polls, ticks_per_poll=1, **options):
-    desk = Desk(spark, str(root), model_reader(reader), PARAMS, clock=lambda: 1000, **options)
+def run(spark, root, polls, ticks_per_poll=1, params=PARAMS, **options):
+    desk = Desk(spark, str(root), model_reader(reader), params, clock=lambda: 1000, **options)
     tick = 0
     for poll_id, rows in enumerate(polls):
         desk.poll(spark.createDataFrame(rows, ITEM), poll_id)
@@ -194,9 +195,9 @@ def test_failed_posts_leave_the_queue(spark, tmp_path):
         return ["status 500 — busy" if "money" == c else None for c in channels]
 
     poster.__module__ = "__main__"
-    polls = random_polls(17)
-    desk = run(spark, tmp_path, polls, poster=poster)
-    plain = simulate(spark, polls, 1, PARAMS.max_per_drop, PARAMS.min_severity)[1]
+    polls = [[(9, 0, "seed", "", "s")], [(0, n, f"story {n}", "", "s") for n in range(100, 130)]]
+    desk = run(spark, tmp_path, polls, params=replace(PARAMS, max_per_drop=50), poster=poster)
+    plain = simulate(spark, polls, 1, 50, PARAMS.min_severity)[1]
     assert popped_titles(desk) == plain
     rows = desk.deliveries.read().collect()
     assert {(r.channel, r.outcome) for r in rows} <= {("money", "failed"), ("policy", "posted"), (None, "held")}
