@@ -28,7 +28,8 @@ TOP_K_ROWS = 100_000
 
 
 def with_fingerprint(items: DataFrame) -> DataFrame:
-    return items.withColumn("fp", fingerprint(F.col("title")))
+    """Add ``fp``, never null: a join on a nullable key would compute it again to test it."""
+    return items.withColumn("fp", F.coalesce(fingerprint(F.col("title")), F.lit("")))
 
 
 def not_blank(items: DataFrame) -> DataFrame:

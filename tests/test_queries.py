@@ -78,5 +78,12 @@ def test_duplicates_are_combined_before_the_shuffle(spark):
     assert "partial_min" in before_shuffle and plan.count("Exchange") == 1
 
 
+@pytest.mark.parametrize("name", ["unseen_items", "suppressed_items", "ledger_upsert"])
+def test_fingerprints_are_computed_once_per_table(spark, name):
+    plan = executed_plan(entry.queries()[name](spark, str(FOLDER)))
+    filters = [line for line in plan.splitlines() if "Filter" in line.split("(")[0]]
+    assert filters and not any("regexp_replace" in line for line in filters)
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
