@@ -101,6 +101,7 @@ VIEWS = {
         WHERE NOT EXISTS (SELECT 1 FROM web_ledger w WHERE w.fp = d.fp)""",
     "lines": """
         SELECT doc_id, CAST(substr(source, 4) AS INTEGER) AS feed_ord,
+               source IS NOT DISTINCT FROM 'src7' AND lang IS NOT DISTINCT FROM 'en' AS cut,
                unnest(string_split(text, chr(10))) AS title,
                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no
         FROM documents""",
@@ -207,9 +208,10 @@ VIEWS = {
         FROM {values([(at, row[1], row[2]) for at, row in enumerate(K.CATALOGUE)])} f(feed_ord, source, hint)
         LEFT JOIN (
             SELECT CAST(substr(source, 4) AS INTEGER) AS feed_ord, count(*) AS payloads,
-                   bool_and(doc_id % 340 <> 0) AS ok,
-                   sum(CASE WHEN doc_id % 340 <> 0 THEN len(string_split(text, chr(10))) ELSE 0 END) AS items
-            FROM documents GROUP BY 1) h USING (feed_ord)""",
+                   bool_and(NOT cut) AS ok,
+                   sum(CASE WHEN NOT cut THEN len(string_split(text, chr(10))) ELSE 0 END) AS items
+            FROM (SELECT *, source IS NOT DISTINCT FROM 'src7' AND lang IS NOT DISTINCT FROM 'en' AS cut
+                  FROM documents) GROUP BY 1) h USING (feed_ord)""",
 }
 
 BASES = {
@@ -274,7 +276,7 @@ ORACLE = {
         ("lines",),
         """SELECT feed_ord, doc_id, CAST(line_no AS INTEGER) AS entry_ord, trim(title, chr(9) || chr(13) || ' ') AS title,
                   'https://example.org/d/' || doc_id || '/' || line_no AS link
-           FROM lines WHERE doc_id % 340 <> 0""",
+           FROM lines WHERE NOT cut""",
     ),
     "page_items": query(("web",), "SELECT * FROM web"),
     "ledger_scan": query(

@@ -85,7 +85,7 @@ def all_items(spark: SparkSession, folder: str) -> DataFrame:
 def document_payloads(spark: SparkSession, folder: str) -> DataFrame:
     """Every document as a feed payload whose entries are its lines.
 
-    Even ids are RSS, odd ids Atom; one feed has payloads that were cut off.
+    Even ids are RSS, odd ids Atom; the English payloads of one feed were cut off.
     """
     text = F.col("text")
     for written, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -116,8 +116,10 @@ def document_payloads(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("</feed>"),
     )
     body = F.when(F.col("doc_id") % 2 == 0, rss).otherwise(atom)
-    cut = F.when(F.col("doc_id") % 340 == 0, F.left(body, F.length(body) - 10)).otherwise(body)
-    return table(spark, folder, "documents").select(
+    payloads = table(spark, folder, "documents").withColumn("body", body)
+    cut_off = (F.col("source") == "src7") & (F.col("lang") == "en")
+    cut = F.when(cut_off, F.left("body", F.length("body") - 10)).otherwise(F.col("body"))
+    return payloads.select(
         "doc_id", F.substring("source", 4, 9).cast("int").alias("feed_ord"), cut.alias("body")
     )
 

@@ -287,15 +287,18 @@ def test_drips_run_on_a_clock(spark, tmp_path):
     assert popped_titles(desk) == popped
 
 
-def test_state_store_form_passes_each_fingerprint_once(spark, tmp_path):
+@pytest.mark.parametrize("horizon", [None, "1 hour"])
+def test_state_store_form_passes_each_fingerprint_once(spark, tmp_path, horizon):
     rows = random_polls(29, 1, 60)[0]
-    spark.createDataFrame(rows, ITEM).repartition(5).write.parquet(str(tmp_path / "items"))
-    stream = spark.readStream.schema(ITEM).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "items"))
+    items = spark.createDataFrame(rows, ITEM).withColumn("ts", F.timestamp_seconds("entry_ord"))
+    items.repartition(3).write.parquet(str(tmp_path / "items"))
+    stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "items"))
     query = (
-        once_per_fingerprint(stream).writeStream.format("parquet")
+        once_per_fingerprint(stream, horizon and "ts", horizon).writeStream.format("parquet")
         .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check"))
         .trigger(availableNow=True).start()
     )
     query.awaitTermination(120)
+    assert query.exception() is None
     got = [r.fp for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     assert sorted(got) == sorted(set(norm(spark, {r[2] for r in rows}).values()))

@@ -1,8 +1,10 @@
 """Golden vectors of the scalar functions."""
 
 import json
+import random
 
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from newsdesk.functions import cards as C
@@ -45,6 +47,28 @@ def test_fingerprint_keeps_vowel_signs_that_are_alphabetic(spark):
     assert row.fp == "हिन दी"
 
 
+def plain_fingerprint(title):
+    """The rules word by word, on code points."""
+    spaces = "\t\n\v\f\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
+    text = title.strip(spaces)
+    cut = text.rfind(" - ")
+    text = (text[:cut] if cut > 0 else text).lower()
+    kept = "".join(c if regex.match(r"[\p{Alphabetic}\p{N}]", c) else " " for c in text)
+    return " ".join(kept.split())
+
+
+def test_fingerprint_on_random_titles(spark):
+    pieces = [
+        " - ", " -", "- ", "-", " ", "  ", "\t", "\n", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "–", "—", "!", "…",
+        "a", "B", "Z9", "É", "ß", "ẞ", "ΑΣ", "ΣΑ", "İ", "ı", "ﬁ", "Ⅷ", "²", "½", "٣", "ि", "्", "क", "中", "ア", "한", "é", "🙂", "𝐀", "_", "$", "1.5",
+    ]
+    rng = random.Random(1)
+    titles = ["".join(rng.choices(pieces, k=rng.randint(0, 9))) for _ in range(3000)]
+    rows = column(spark, titles).select("v", fingerprint(F.col("v")).alias("fp")).collect()
+    wrong = [(r.v, r.fp, plain_fingerprint(r.v)) for r in rows if r.fp != plain_fingerprint(r.v)]
+    assert not wrong, wrong[:5]
+
+
 def test_percent_encoding(spark):
     pairs = [
         ("a b", "a%20b"),
