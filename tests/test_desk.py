@@ -290,7 +290,7 @@ def test_drips_run_on_a_clock(spark, tmp_path):
 @pytest.mark.parametrize("horizon", [None, "1 hour"])
 def test_state_store_form_passes_each_fingerprint_once(spark, tmp_path, horizon):
     rows = random_polls(29, 1, 60)[0]
-    items = spark.createDataFrame(rows, ITEM).withColumn("ts", F.timestamp_seconds("entry_ord"))
+    items = spark.createDataFrame(rows, ITEM).withColumn("ts", F.timestamp_seconds(F.col("entry_ord") + 1_700_000_000))
     items.repartition(3).write.parquet(str(tmp_path / "items"))
     stream = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "items"))
     query = (
