@@ -121,7 +121,9 @@ def queue_replay(reads: DataFrame, flow: DataFrame, min_severity: int, *sequence
 
     ``sequence`` identifies a card and orders the cards of a poll. Within a severity
     cards leave in order of arrival, so the r-th arrival is the r-th to leave. Only polls
-    up to the one in which a severity's last leaver arrived take part in the ranking.
+    up to the one in which a severity's last leaver arrived take part in the ranking; these
+    cards, no more than the leavers and one poll's arrivals, are written down first so that
+    the sort does not scan all reads twice.
     Departures are expanded from the flow (never more than capacity per poll) and meet
     the cards by their unique (severity, place in line).
     """
@@ -140,7 +142,7 @@ def queue_replay(reads: DataFrame, flow: DataFrame, min_severity: int, *sequence
         .agg(F.max("poll_id").alias("last_poll"))
     )
     cards = reads.where(is_cleared(min_severity))
-    lining_up = (
+    lining_up = cut_lineage(
         cards.select("severity", "poll_id", *sequence)
         .join(F.broadcast(reach), "severity")
         .where(F.col("poll_id") <= F.col("last_poll"))
