@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from newsdesk.llm.ngram_jaccard import op3_ngram_jaccard
 from newsdesk.llm.packing import op6_best_fit_packing
 from newsdesk.llm.substring_dedup import op5_substring_dedup
+from newsdesk.llm.suffix_dedup import op4_suffix_dedup
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
 }
