@@ -95,9 +95,9 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, powers: P
 class Words:
     """The words of a run of texts: byte ranges, row of each, and the rows' bounds among them."""
 
-    def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool):
+    def __init__(self, raw: np.ndarray, off: np.ndarray, lower: bool, space: np.ndarray = SPACE):
         self.raw = LOWER[raw] if lower else raw
-        space = SPACE[raw]
+        space = space[raw]
         first = np.zeros(len(raw) + 1, bool)
         first[off] = True
         inside = ~space

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsdesk.llm.fingerprints import op8_fingerprints
 from newsdesk.llm.ngram_jaccard import op3_ngram_jaccard
 from newsdesk.llm.packing import op6_best_fit_packing
 from newsdesk.llm.substring_dedup import op5_substring_dedup
@@ -16,6 +17,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_fingerprints": op8_fingerprints,
 }
 
 LLM_ORACLE: dict[str, str] = {}
