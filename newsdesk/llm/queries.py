@@ -11,12 +11,14 @@ from newsdesk.llm.ngram_jaccard import op3_ngram_jaccard
 from newsdesk.llm.packing import op6_best_fit_packing
 from newsdesk.llm.substring_dedup import op5_substring_dedup
 from newsdesk.llm.suffix_dedup import op4_suffix_dedup
+from newsdesk.llm.toxicity import op7_toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
 }
 
