@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from newsdesk.llm.fingerprints import op8_fingerprints
 from newsdesk.llm.ngram_jaccard import op3_ngram_jaccard
 from newsdesk.llm.packing import op6_best_fit_packing
+from newsdesk.llm.quality import op10_quality
 from newsdesk.llm.substring_dedup import op5_substring_dedup
 from newsdesk.llm.suffix_dedup import op4_suffix_dedup
 from newsdesk.llm.toxicity import op7_toxicity
@@ -20,6 +21,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
+    "op10_quality": op10_quality,
 }
 
 LLM_ORACLE: dict[str, str] = {}
