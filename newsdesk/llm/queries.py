@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from newsdesk.llm import cover_search
 from newsdesk.llm.fingerprints import op8_fingerprints
 from newsdesk.llm.ngram_jaccard import op3_ngram_jaccard
 from newsdesk.llm.packing import op6_best_fit_packing
@@ -21,7 +22,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
+    "op9_cover_search": cover_search.op9_cover_search,
     "op10_quality": op10_quality,
 }
 
-LLM_ORACLE: dict[str, str] = {}
+LLM_ORACLE: dict[str, str] = {"op9_cover_search": cover_search.ORACLE}
