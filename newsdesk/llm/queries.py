@@ -10,12 +10,16 @@ from newsdesk.llm import cover_search
 from newsdesk.llm.fingerprints import op8_fingerprints
 from newsdesk.llm.ngram_jaccard import op3_ngram_jaccard
 from newsdesk.llm.packing import op6_best_fit_packing
+from newsdesk.llm.pieces import op1_sentencepiece
 from newsdesk.llm.quality import op10_quality
 from newsdesk.llm.substring_dedup import op5_substring_dedup
 from newsdesk.llm.suffix_dedup import op4_suffix_dedup
+from newsdesk.llm.token_counts import op2_token_counts
 from newsdesk.llm.toxicity import op7_toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op2_token_counts": op2_token_counts,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_substring_dedup": op5_substring_dedup,
