@@ -93,7 +93,7 @@ def token_counts(spark: SparkSession, path: str, end: int = END, width: int = 2,
     ship_package(spark)
     files = spark.read.format("binaryFile").load(path).where("length > 0").select("path", "content")
     blocks = files.mapInArrow(partial(_scan, end=end, width=width, block_tokens=block_tokens), BLOCK)
-    blocks = blocks.withColumn("group", F.expr(f"block div {group}")).withColumn("found", F.size("ends")).withColumn("last", F.expr("element_at(ends, -1)"))
+    blocks = blocks.withColumn("group", F.expr(f"block div {group}")).withColumn("found", F.size("ends")).withColumn("last", F.expr("try_element_at(ends, -1)"))
     sums = blocks.groupBy("file", "group").agg(F.sum("found").alias("found"), F.max("last").alias("last"), F.max(F.col("start") + F.col("size")).alias("length"))
     before = "partition by file order by group rows between unbounded preceding and 1 preceding"
     sums = sums.selectExpr(
@@ -108,7 +108,7 @@ def token_counts(spark: SparkSession, path: str, end: int = END, width: int = 2,
         "if(start + size = length and coalesce(last, -1L) < length - 1, array_append(ends, length), ends) as ends",
     )
     return local.selectExpr("file", "first", "open", "ends", "posexplode(ends) as (at, end)").selectExpr(
-        "file", "first + at as document", "if(at = 0, open, ends[at - 1] + 1) as start", "end - if(at = 0, open, ends[at - 1] + 1) as n_tokens"
+        "file", "first + at as document", "if(at = 0, open, get(ends, at - 1) + 1) as start", "end - if(at = 0, open, get(ends, at - 1) + 1) as n_tokens"
     )
 
 
