@@ -13,12 +13,13 @@ Tokens are 64-bit hashes of shingles, sets are told apart by 128 bits.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from newsdesk.llm import arrays
@@ -205,5 +206,17 @@ def _between_blocks(wide: DataFrame, found: DataFrame, num: int, den: int, block
     return _compared(blocks.select("block", "doc_id", "label", "visitor", "tokens"), num, den)
 
 
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """Rows of ``docs``, all columns: of each group of linked documents the one of least ``doc_id`` stays.
+
+    Of rows that share its ``doc_id`` the one of least text stays; rows with a null ``doc_id`` all stay.
+    """
+    least = similar_documents(docs, n, num, den).where("doc_id = component_id").selectExpr("doc_id as least").distinct()
+    row = f"row_{uuid.uuid4().hex}"
+    known = docs.join(least, docs["doc_id"] == least["least"], "left_semi")
+    known = known.withColumn(row, F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where(F.col(row) == 1).drop(row)
+    return known.union(docs.where(docs["doc_id"].isNull()))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(documents(spark, sf_dir), n=3, num=90, den=100)

@@ -210,10 +210,20 @@ def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score``; a clashing column of that name is replaced."""
-    docs = docs.drop("score")
-    kind = StructType([*docs.schema.fields, StructField("score", DoubleType())])
-    return docs.mapInArrow(partial(_scored, model=model), kind)
+    """``doc_id, text`` of ``docs`` with ``score``."""
+    docs = docs.select("doc_id", "text")
+    return docs.mapInArrow(partial(_scored, model=model), StructType([*docs.schema.fields, StructField("score", DoubleType())]))
+
+
+def _kept(batches: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in arrays.slices(batch, "text"):
+            yield piece.filter(pa.array(model.score(piece.column("text")) >= threshold))
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs``, all columns, that the model does not reject."""
+    return docs.mapInArrow(partial(_kept, model=model, threshold=threshold), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 A window is ``n`` words in a row of one document. Its anchor is the least hash of the ``GRAM``-word runs in
 it, so equal windows have equal anchors and the count of an anchor is never below that of its windows.
 Pass 1 counts anchor places in a count-min sketch per batch; the sketches are merged by column, and of the
-merged one only "two or more" is kept, ``2 * COLUMNS`` bits whatever the input. Pass 2 groups exactly, by
-64-bit hash, the windows whose anchor the sketch estimates as repeated. The sketch only overestimates, so
-no repeat is lost; when it is overfull, more windows are grouped and the result stays the same.
+merged one only "two or more" is kept, ``DEPTH * COLUMNS`` bits whatever the input. Pass 2 groups exactly, by
+64-bit hashes, the windows whose anchor the sketch estimates as repeated: first whole stretches of windows with one
+anchor, then, among stretches that are the first of their kind, the windows one by one. The sketch only overestimates,
+so no repeat is lost; when it is overfull, more windows are grouped and the result stays the same.
 
 Results for odd input: a null or empty text has no words; rows with a null ``doc_id`` come back with nothing
 removed and take no part; copies of one row get equal results; of rows that share a ``doc_id`` with different
@@ -28,8 +29,8 @@ from newsdesk.llm import arrays
 from newsdesk.llm.storage import documents, written
 
 WINDOW, GRAM = 20, 8
-COLUMNS = 1 << 27
-"""Columns of each of the sketch's two rows; a power of two. Merged it takes 32 MB."""
+COLUMNS, DEPTH = 1 << 27, 4
+"""Columns (a power of two) and rows of the sketch. Merged it takes 64 MB."""
 BLOCK = 1 << 16
 NOTHING = hashlib.sha256(b"").hexdigest()
 
@@ -74,10 +75,13 @@ def places(words: arrays.Words, n: int) -> np.ndarray:
     return hashes[~sliding_least(~of_window, span) == hashes]
 
 
-def columns(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    low = anchor & np.uint64(COLUMNS - 1)
-    high = (arrays.mix(anchor) >> np.uint64(20)) & np.uint64(COLUMNS - 1)
-    return low.astype(np.int64), high.astype(np.int64) + COLUMNS
+def columns(anchor: np.ndarray) -> list[np.ndarray]:
+    """The cell of each row of the sketch that counts the anchor."""
+    out = []
+    for row in range(DEPTH):
+        out.append((anchor & np.uint64(COLUMNS - 1)).astype(np.int64) + row * COLUMNS)
+        anchor = arrays.mix(anchor)
+    return out
 
 
 def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -126,9 +130,10 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated(anchor: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    low, high = columns(anchor)
-    tests = [(bits[c >> 3] >> (c & 7).astype(np.uint8)) & 1 for c in (low, high)]
-    return (tests[0] & tests[1]).astype(bool)
+    out = np.ones(len(anchor), bool)
+    for cell in columns(anchor):
+        out &= ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
+    return out
 
 
 def _candidates(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[pa.RecordBatch]:
@@ -144,18 +149,43 @@ def _candidates(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[p
             yield out.take(pa.array(rows))
 
 
-def _windows(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[pa.RecordBatch]:
+STRETCH = "kind long, anchor long, doc_id long, at int, size int, windows binary"
+STRETCH_NAMES = [x.split()[0] for x in STRETCH.split(", ")]
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[pa.RecordBatch]:
+    """Runs of windows with one anchor that is estimated as repeated: hash of their words, place, number, hashes."""
     bits = np.frombuffer(sketch.value, np.uint8)
     for batch in batches:
         for piece in arrays.slices(batch, "text"):
             words = arrays.words_of(piece.column("text"))
             start, anchor = anchors(words, n)
-            start = start[repeated(anchor, bits)]
+            wanted = repeated(anchor, bits)
+            rows = words.row[start]
+            # The leftmost run that is the anchor is another one where it differs or was the last window's first.
             prefix = arrays.prefix_hash(words.hashes(), arrays.WORD_POWERS)
-            hashes = arrays.range_hash(prefix, start, start + n, arrays.WORD_POWERS).view(np.int64)
+            before = arrays.range_hash(prefix, start[:-1], start[:-1] + min(GRAM, n), arrays.WORD_POWERS)
+            new = np.ones(len(start), bool)
+            new[1:] = (anchor[1:] != anchor[:-1]) | (rows[1:] != rows[:-1]) | (before == anchor[:-1])
+            first = np.flatnonzero(new)
+            end = np.append(first[1:], len(start))[: len(first)]
+            first, end = first[wanted[first]], end[wanted[first]]
+            kind = arrays.range_hash(prefix, start[first], start[end - 1] + n, arrays.WORD_POWERS).view(np.int64)
+            raw = arrays.range_hash(prefix, start, start + n, arrays.WORD_POWERS).tobytes()
+            windows = pa.array([raw[8 * a : 8 * b] for a, b in zip(first.tolist(), end.tolist(), strict=True)], pa.binary())
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)
-            rows = words.row[start]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(ids[rows]), pa.array((start - words.bounds[rows]).astype(np.int32))], names=["window", "doc_id", "at"])
+            at = (start[first] - words.bounds[rows[first]]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(anchor[first].view(np.int64)), pa.array(ids[rows[first]]), pa.array(at), pa.array((end - first).astype(np.int32)), windows], names=STRETCH_NAMES)
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, off = arrays.byte_view(batch.column("windows"))
+        count = np.diff(off) // 8
+        row = np.repeat(np.arange(batch.num_rows), count)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        at = batch.column("at").to_numpy()[row] + step
+        yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(raw.tobytes(), np.int64)), pa.array(batch.column("doc_id").to_numpy()[row]), pa.array(at.astype(np.int32))], names=["window", "doc_id", "at"])
 
 
 def _kept(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -164,9 +194,9 @@ def _kept(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]
         for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
             words = text.as_buffer().to_pybytes().split()
             edge = np.zeros(len(words) + n + 1, np.int32)
-            at = starts.values.to_numpy(zero_copy_only=False)
+            at = starts.values.field("at").to_numpy(zero_copy_only=False)
             np.add.at(edge, at, 1)
-            np.add.at(edge, at + n, -1)
+            np.add.at(edge, at + starts.values.field("size").to_numpy(zero_copy_only=False) + n - 1, -1)
             gone = np.cumsum(edge)[: len(words)] > 0
             removed.append(int(gone.sum()))
             kept.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone, strict=True) if not g)).digest())
@@ -180,7 +210,7 @@ def without_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     pass_1 = written(docs.mapInArrow(partial(_profile, n=n), PROFILE), "windows-profile")
     profile = pass_1.where("block is null").drop("block", "cells")
     blocks = pass_1.where("block is not null").select("block", "cells").repartition("block").sortWithinPartitions("block")
-    bits = bytearray(2 * COLUMNS // 8)
+    bits = bytearray(DEPTH * COLUMNS // 8)
     for row in blocks.mapInArrow(_merged, "block int, bits binary").toLocalIterator():
         bits[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = row["bits"]
     sketch = spark.sparkContext.broadcast(bytes(bits))
@@ -191,10 +221,19 @@ def without_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     same = (F.col("found.d1") == F.col("reps.d1")) & (F.col("found.d2") == F.col("reps.d2"))
     texts = found.alias("found").join(reps.alias("reps"), "doc_id").where(same).select("doc_id", "found.text")
     texts = written(texts.dropDuplicates(["doc_id"]), "windows-texts")
-    windows = texts.mapInArrow(partial(_windows, n=n, sketch=sketch), "window long, doc_id long, at int")
+    stretches = texts.mapInArrow(partial(_stretches, n=n, sketch=sketch), STRETCH)
+    kinds_of = stretches.groupBy("kind").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.min("anchor").alias("anchor"), F.count("*").alias("times"))
+    kinds_of = written(kinds_of, "windows-kinds")
+    mixed = kinds_of.groupBy("anchor").count().where("count > 1").select("anchor", F.lit(True).alias("mixed"))
+    kinds_of = kinds_of.join(mixed, "anchor", "left").where("times > 1 or mixed").select("kind", "first", "mixed")
+    placed = stretches.drop("anchor").join(kinds_of, "kind")
+    later = placed.where("doc_id <> first.doc_id or at <> first.at").select("doc_id", "at", "size")
+    windows = placed.where("mixed and doc_id = first.doc_id and at = first.at").select("doc_id", "at", "windows")
+    windows = windows.mapInArrow(_windows, "window long, doc_id long, at int")
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times"))
-    later = windows.join(first.where("times > 1"), "window").where("doc_id <> first.doc_id or at <> first.at")
-    starts = later.groupBy("doc_id").agg(F.collect_list("at").alias("starts"))
+    again = windows.join(first.where("times > 1"), "window").where("doc_id <> first.doc_id or at <> first.at")
+    starts = later.union(again.select("doc_id", "at", F.lit(1).alias("size")))
+    starts = starts.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("starts"))
     rest = texts.join(starts, "doc_id").mapInArrow(partial(_kept, n=n), "rep long, removed long, rest binary")
 
     named = reps.join(rest, F.col("doc_id") == F.col("rep"), "left").select("d1", "d2", F.col("doc_id").alias("rep"), "removed", "rest")

@@ -19,6 +19,7 @@ columns are not read. Equality of strings is equality of 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import partial
 
@@ -183,7 +184,8 @@ def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, texts: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs`` (``doc_id`` long, ``text`` string).
 
-    With ``texts`` also ``kept_text``, null where nothing was removed; a character cut in two is dropped from it.
+    With ``texts`` also ``whole``, the SHA-256 of the text, and ``kept_text``, null where nothing was removed; a
+    character cut in two is dropped from it.
     """
     docs = docs.select("doc_id", "text")
     profile = written(docs.mapInArrow(partial(_profile, length=length), PROFILE), "suffixes-profile")
@@ -224,11 +226,22 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, texts
         F.expr(f"case when {taken} then '{NOTHING}' else lower(hex(coalesce(rest, whole))) end").alias("kept_sha256"),
     ]
     if texts:
-        columns.append(F.expr(f"case when {taken} then '' else kept_text end").alias("kept_text"))
+        columns += [F.col("whole"), F.expr(f"case when {taken} then '' else kept_text end").alias("kept_text")]
     return out.where("doc_id is not null").select("doc_id", "n_bytes", *columns).unionByName(
-        profile.where("doc_id is null").selectExpr("doc_id", "n_bytes", "0L as n_removed", "0L as n_spans", "lower(hex(whole)) as kept_sha256", *(["cast(null as string) as kept_text"] if texts else []))
+        profile.where("doc_id is null").selectExpr("doc_id", "n_bytes", "0L as n_removed", "0L as n_spans", "lower(hex(whole)) as kept_sha256", *(["whole", "cast(null as string) as kept_text"] if texts else []))
     )
 
 
+def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs``, all rows and columns, with ``text`` less its repeated strings; ``n_chars``, if there, follows it."""
+    name = f"kept_{uuid.uuid4().hex}"
+    changed = without_repeats(docs, length, texts=True).where("kept_text is not null")
+    changed = changed.selectExpr("doc_id as of", "whole", f"kept_text as {name}").dropDuplicates(["of", "whole"])
+    same = (docs["doc_id"] == changed["of"]) & (F.unhex(F.sha2(docs["text"], 256)) == changed["whole"])
+    text = F.coalesce(changed[name], docs["text"])
+    known = {"text": text.alias("text"), "n_chars": F.when(changed[name].isNull(), docs["n_chars"]).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in docs.columns else {"text": text.alias("text")}
+    return docs.join(changed, same, "left").select(*[known.get(c, docs[c]) for c in docs.columns])
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(documents(spark, sf_dir))
