@@ -122,7 +122,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _matrix(rows: DataFrame) -> np.ndarray:
     found = rows.select("doc_id", "text").mapInArrow(_measured, "doc_id long, x array<double>").toArrow().sort_by("doc_id")
-    return found.column("x").combine_chunks().flatten().to_numpy().reshape(found.num_rows, -1)
+    return found.column("x").combine_chunks().flatten().to_numpy().reshape(found.num_rows, WIDTH)
 
 
 def class_prior(trusted: np.ndarray, unlabelled: np.ndarray) -> float:
