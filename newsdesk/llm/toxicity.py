@@ -122,8 +122,8 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> np.n
     Given the class, voters are Bernoulli; a voter's log odds are divided by one plus the sum of its correlations
     with the others beyond what the classes explain.
     """
-    q = np.where(labels == 1, 0.98, 0.02)
     sure = 0.98
+    q = np.where(labels == 1, sure, 1 - sure)
     for _ in range(rounds):
         prior = np.clip(q.mean(), 1e-3, 1 - 1e-3)
         in_1, in_0 = (q @ votes + 0.5) / (q.sum() + 1), ((1 - q) @ votes + 0.5) / ((1 - q).sum() + 1)
@@ -136,8 +136,7 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 20) -> np.n
         weight = 1 / (1 + correlation.sum(0))
         yes, no = np.log(in_1 / in_0), np.log((1 - in_1) / (1 - in_0))
         odds = np.log(prior / (1 - prior)) + votes @ (weight * yes) + (1 - votes) @ (weight * no)
-        odds += np.where(labels == 1, 1, -1) * np.log(sure / (1 - sure))
-        q = sigmoid(odds)
+        q = sigmoid(odds + np.where(labels == 1, 1, -1) * np.log(sure / (1 - sure)))
         sure = float(np.clip(np.where(labels == 1, q, 1 - q).mean(), 0.8, 0.99))
     return q
 
@@ -176,11 +175,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     places = places.flatten().to_numpy().astype(np.int64)
     counts = found.column("counts").combine_chunks().flatten().to_numpy()
     flags = (found.column("votes").to_numpy()[:, None] >> np.arange(EXTRA)) & 1
-    strongest = np.searchsorted(vocabulary, np.array(best[:VOTERS], np.int64).view(np.uint64))
-    votes = np.zeros((len(labelled), n + 1))
-    votes[row, places] = 1
+    strongest = np.full(n, -1)
+    strongest[np.searchsorted(vocabulary, np.array(best[:VOTERS], np.int64).view(np.uint64))] = np.arange(len(best[:VOTERS]))
+    mine = strongest[places] >= 0 if n else np.zeros(0, bool)
+    votes = np.zeros((len(labelled), len(best[:VOTERS])), np.float32)
+    votes[row[mine], strongest[places[mine]]] = 1
     silent = np.bincount(row, minlength=len(labelled)) == 0
-    q = label_model(np.column_stack([votes[:, strongest], flags, silent]).astype(float), labelled)
+    q = label_model(np.column_stack([votes, flags, silent]).astype(np.float32), labelled)
 
     r, c = np.nonzero(flags)
     x = Sparse(np.concatenate([row, r]), np.concatenate([places, n + c]), np.concatenate([np.log1p(counts), np.ones(len(r))]), (len(labelled), n + EXTRA))
@@ -192,7 +193,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     w = descend(gradient, n + EXTRA + 1, 400, 0.05)
     x = x.dot(w[:-1])
     # The bias puts the threshold a quarter of the way from the highest clean rows to the lowest toxic ones.
-    clean, toxic = np.quantile(x[q < 0.5], 0.999) if (q < 0.5).any() else x.min(), np.quantile(x[q >= 0.5], 0.05) if (q >= 0.5).any() else x.max()
+    clean, toxic = np.quantile(x[labelled != 1], 0.999), np.quantile(x[labelled == 1], 0.05)
     w[-1] = np.log(THRESHOLD / (1 - THRESHOLD)) - (clean + max(0.0, toxic - clean) / 4)
     return Model(vocabulary, w)
 
