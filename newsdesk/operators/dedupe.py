@@ -20,12 +20,6 @@ LEDGER_COLUMNS = ("fp", *SEEN_POSITION)
 BATCH_ORDER = (*ITEM_POSITION, "fp")
 INSERT_ORDER = (*SEEN_POSITION, "fp")
 
-# Fixed value: fingerprints the ledger remembers unless told otherwise.
-LEDGER_CAP = 4000
-
-# Largest row count a single top-k step may gather in one task.
-TOP_K_ROWS = 100_000
-
 
 def with_fingerprint(items: DataFrame) -> DataFrame:
     """Add ``fp``, never null: a join on a nullable key would compute it again to test it."""
@@ -78,37 +72,14 @@ def upserted(ledger: DataFrame, sightings: DataFrame) -> DataFrame:
     return first_wins(both, "fp", SEEN_POSITION)
 
 
-def capped(ledger: DataFrame, cap: int | None = LEDGER_CAP) -> DataFrame:
-    """The ``cap`` fingerprints inserted last; re-sightings do not refresh their age."""
+def capped(ledger: DataFrame, cap: int | None) -> DataFrame:
+    """The ``cap`` fingerprints inserted last, or all; re-sightings do not refresh their age."""
     if cap is None:
         return ledger
     newest = [F.desc(c) for c in INSERT_ORDER]
-    if cap <= TOP_K_ROWS:
-        return ledger.orderBy(*newest).limit(cap)
     return ranked(ledger, newest, name="_age").where(F.col("_age") <= cap).drop("_age")
 
 
-def evictable(batch: DataFrame, ledger: DataFrame, cap: int) -> DataFrame:
-    """Known items of a batch, and after how many inserts the ledger forgets each (``limit``)."""
-    room = cap - ledger.count()
-    limits = ranked(ledger.select(*LEDGER_COLUMNS), list(INSERT_ORDER), name="_age").select(
-        "fp", (F.col("_age") + room).alias("limit")
-    )
-    return batch.join(limits, "fp").select(*batch.columns, "limit")
-
-
-def forgotten(pending: DataFrame, inserted: DataFrame) -> DataFrame:
-    """Items of :func:`evictable` whose limit is reached by the inserts before their turn."""
-    columns = [*BATCH_ORDER, "limit"]
-    both = pending.select(*columns).unionByName(
-        inserted.select(*BATCH_ORDER, F.lit(None).cast("bigint").alias("limit"))
-    )
-    placed = ranked(both, list(BATCH_ORDER), name="_all").withColumn("_new", F.col("limit").isNull())
-    counted = ranked(placed, list(BATCH_ORDER), keys=["_new"], name="_own")
-    reached = counted.where(F.col("_all") - F.col("_own") >= F.col("limit"))
-    return pending.join(reached.select("fp"), "fp", "left_semi").select(*pending.columns)
-
-
 def first_sightings(history: DataFrame, seed_poll: int = 0) -> DataFrame:
     """Items of a poll history read once: first sighting of a fingerprint after the seed."""
     firsts = first_wins(with_fingerprint(not_blank(history)), "fp", SEEN_POSITION)

@@ -1,8 +1,7 @@
 """Dimension lookups.
 
-Tables of fixed values are hinted for broadcast, and sides whose row count has been
-computed and is low enough. For every other side Spark decides: a table's file size, or its
-measured shuffle size under adaptive execution, is checked against
+Tables of fixed values are hinted for broadcast. For every other side Spark decides: a table's
+file size, or its measured shuffle size under adaptive execution, is checked against
 ``spark.sql.autoBroadcastJoinThreshold``, and a larger side is shuffled.
 """
 
@@ -14,15 +13,6 @@ from pyspark.sql import functions as F
 from newsdesk.functions.replies import category_spelling
 from newsdesk.sources import catalogue
 
-# Rows of a few narrow columns that may be copied to every executor.
-BROADCAST_ROWS = 500_000
-
-
-def sized(df: DataFrame, rows: int) -> DataFrame:
-    """Hint a narrow table of at most ``rows`` rows for broadcast if that is few."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def with_skin(cards: DataFrame) -> DataFrame:
     """Add ``label, emoji, color``; every category has a skin."""
     return cards.join(F.broadcast(catalogue.skins(cards.sparkSession)), "category")

@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsdesk.functions.replies import MAX_SEVERITY
-from newsdesk.operators.joins import sized
 from newsdesk.operators.rank import ranked
 from newsdesk.operators.reads import is_cleared
 from newsdesk.session import cut_lineage
@@ -111,11 +110,6 @@ def queue_flow(reads: DataFrame, capacity: int, min_severity: int) -> DataFrame:
     )
 
 
-def departed(flow: DataFrame) -> int:
-    """Cards that left over the whole history."""
-    return flow.agg(F.sum(F.col("left") - F.col("left_before"))).head()[0] or 0
-
-
 def queue_replay(reads: DataFrame, flow: DataFrame, min_severity: int, *sequence: str) -> DataFrame:
     """The cards that left the queue over a poll history, with ``left_poll`` and ``place``.
 
@@ -157,10 +151,10 @@ def queue_replay(reads: DataFrame, flow: DataFrame, min_severity: int, *sequence
             (F.col("stronger") + F.col("line") - F.col("left_before")).alias("place"),
         )
     )
-    return cards.join(sized(left, departed(flow)), list(sequence))
+    return cards.join(left, list(sequence))
 
 
-def poll_summary(flow: DataFrame, cap: int | None) -> DataFrame:
+def poll_summary(flow: DataFrame, cap: int | None = None) -> DataFrame:
     """Per poll: cards added, and queue and ledger length right after it, before its pops."""
     total = F.sum("reads").over(W.orderBy("poll_id").rowsBetween(W.unboundedPreceding, 0))
     return (

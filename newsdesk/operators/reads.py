@@ -137,12 +137,12 @@ def lexicon_reads(items: DataFrame, lexicon: Mapping[str, Sequence[str]]) -> Dat
     category = F.lit("drop")
     for band in reversed(BANDS):
         category = F.when((most > 0) & (F.col(f"_hits_{band}") == most), F.lit(band)).otherwise(category)
-    opening = F.split(unicode_trim(F.col("title")), r"\p{IsWhite_Space}+")
+    words = F.split(unicode_trim(F.col("title")), r"\p{IsWhite_Space}+")
     confidence = F.when(most >= 3, "high").when(most == 2, "medium").otherwise("low")
     return counted.select(
         *items.columns,
         category.alias("category"),
-        F.array_join(F.slice(opening, 1, 12), " ").alias("read"),
+        F.array_join(words, " ").alias("read"),
         F.greatest(F.lit(R.MIN_SEVERITY), F.least(F.lit(R.MAX_SEVERITY), most)).alias("severity"),
         confidence.alias("confidence"),
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsdesk.operators.dedupe import LEDGER_CAP
 from newsdesk.sources.catalogue import BANDS
 from newsdesk.sources.params import Params
 
@@ -31,7 +30,7 @@ def status_snapshot(
     params: Params,
     feeds: int,
     last_poll: Column | None = None,
-    cap: int | None = LEDGER_CAP,
+    cap: int | None = None,
 ) -> DataFrame:
     """One row from a single pass over ``state``.
 
@@ -102,8 +101,8 @@ def seed_line(count: int) -> str:
 
 
 def recent_log(activity: DataFrame, lines: int, *sequence: str) -> DataFrame:
-    """The newest lines of the log; the log itself keeps :data:`LOG_LINES`."""
-    return activity.orderBy(*[F.desc(c) for c in sequence]).limit(min(lines, LOG_LINES))
+    """The newest ``lines`` of the log; its ring is :data:`LOG_LINES` of them."""
+    return activity.orderBy(*[F.desc(c) for c in sequence]).limit(lines)
 
 
 def posted_lines(activity: DataFrame) -> DataFrame:

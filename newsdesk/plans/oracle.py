@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from newsdesk.functions.cards import BRAND
 from newsdesk.functions.text import WHITE_SPACE
-from newsdesk.operators.dedupe import LEDGER_CAP
 from newsdesk.operators.reads import PROMPT
 from newsdesk.operators.status import LOG_LINES, SNAPSHOT_LINES
 from newsdesk.plans import views as V
@@ -80,16 +79,16 @@ for written, meant in (
 
 VIEWS = {
     "items": """
-        SELECT CAST(substr(source, 4) AS INTEGER) AS feed_ord, doc_id AS entry_ord,
-               split_part(text, chr(10), 1)
-                   || CASE WHEN doc_id % 3 = 0 THEN ' - ' || source ELSE '' END AS title,
-               '' AS link, source
-        FROM documents""",
+        SELECT CAST(substr(source, 4) AS INTEGER) AS feed_ord, doc_id * 16777216 + line_no AS entry_ord,
+               line || CASE WHEN doc_id % 3 = 0 THEN ' - ' || source ELSE '' END AS title,
+               '' AS link, source, doc_id, CAST(line_no AS INTEGER) AS line_no
+        FROM (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line,
+                     generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)""",
     "web": f"""
         SELECT {V.PAGES_FEED} AS feed_ord, page_id AS entry_ord, {title_html} AS title, url AS link,
                regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1) AS source
         FROM pages""",
-    "pool": "SELECT * FROM items UNION ALL SELECT * FROM web",
+    "pool": "SELECT feed_ord, entry_ord, title, link, source FROM items UNION ALL SELECT * FROM web",
     "doc_batch": winners("items", ITEM_ORDER),
     "web_batch": winners("web", ITEM_ORDER),
     "pool_batch": winners("pool", ITEM_ORDER),
@@ -149,14 +148,14 @@ VIEWS = {
               || '"}' || CASE WHEN kind = 11 THEN ' trailing' ELSE '' END
             END AS raw
         FROM parts""",
-    "padded": f"SELECT entry_ord AS doc_id, title, ' ' || {fp('title')} || ' ' AS padded FROM items",
+    "padded": f"SELECT entry_ord, doc_id, line_no, title, ' ' || {fp('title')} || ' ' AS padded FROM items",
     "terms": "SELECT * FROM "
     + values([(b, t, K.BANDS.index(b)) for b, terms in V.LEXICON.items() for t in terms])
     + " t(sweep, term, band_ord)",
     "hits": """
-        SELECT doc_id, sweep, band_ord, count(*) AS n, string_agg(term, '|' ORDER BY term) AS terms
+        SELECT entry_ord, doc_id, line_no, sweep, band_ord, count(*) AS n, string_agg(term, '|' ORDER BY term) AS terms
         FROM padded JOIN terms ON contains(padded, ' ' || term || ' ')
-        GROUP BY doc_id, sweep, band_ord""",
+        GROUP BY entry_ord, doc_id, line_no, sweep, band_ord""",
     "documented": f"""
         SELECT event_id, event_id % 4 AS kind, k, event_type, user_id
         FROM (SELECT *, {K_OF_EVENT} AS k FROM events)""",
@@ -194,7 +193,7 @@ VIEWS = {
         JOIN gone g ON g.severity = c.severity AND c.line_no > g.upto - g.n AND c.line_no <= g.upto""",
     "summary": f"""
         SELECT poll_id, a1 AS new, queued,
-               least(sum(reads) OVER (ORDER BY poll_id), {LEDGER_CAP}) AS seen
+               sum(reads) OVER (ORDER BY poll_id) AS seen
         FROM flow""",
     "activity": """
         SELECT poll_id, 0::BIGINT AS place,
@@ -260,7 +259,7 @@ READ = "category, read, CAST(severity AS INTEGER) AS severity, confidence"
 QUEUE_RANK = "row_number() OVER (ORDER BY severity DESC, event_id)"
 HINTED = values([(at, *row) for at, row in enumerate(K.CATALOGUE)])
 SEARCH = f"{text(K.SEARCH_PREFIX)} || url_encode(%s) || {text(K.SEARCH_SUFFIX)}"
-OPENING = f"array_to_string(list_slice(regexp_split_to_array({trimmed('title')}, '[{SPACES}]+'), 1, 12), ' ')"
+SPOKEN = f"array_to_string(regexp_split_to_array({trimmed('title')}, '[{SPACES}]+'), ' ')"
 COLUMNS_OF_HIT = "arg_max(sweep, n * 10 - band_ord)"
 
 ORACLE = {
@@ -269,9 +268,10 @@ ORACLE = {
                CASE f.kind WHEN 'desk' THEN f.place ELSE {SEARCH % 'f.place'} END AS url,
                coalesce(n.items, 0) AS items
         FROM {HINTED} f(feed_ord, kind, source, hint, place)
-        LEFT JOIN (SELECT CAST(substr(source, 4) AS INTEGER) AS feed_ord, count(*) AS items
+        LEFT JOIN (SELECT CAST(substr(source, 4) AS INTEGER) AS feed_ord,
+                          CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS items
                    FROM documents GROUP BY 1) n USING (feed_ord)""",
-    "sweep_urls": query(("items",), f"SELECT entry_ord AS doc_id, {SEARCH % 'title'} AS url FROM items"),
+    "sweep_urls": query(("items",), f"SELECT doc_id, line_no, {SEARCH % 'title'} AS url FROM items"),
     "feed_items_xml": query(
         ("lines",),
         """SELECT feed_ord, doc_id, CAST(line_no AS INTEGER) AS entry_ord, trim(title, chr(9) || chr(13) || ' ') AS title,
@@ -313,7 +313,7 @@ ORACLE = {
         f"SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, title FROM lines WHERE {trimmed('title')} <> ''",
     ),
     "gathered_items": query(("pool_batch",), f"SELECT {BATCH} FROM pool_batch"),
-    "fingerprint_docs": query(("items",), f"SELECT entry_ord AS doc_id, {fp('title')} AS fp FROM items"),
+    "fingerprint_docs": query(("items",), f"SELECT doc_id, line_no, {fp('title')} AS fp FROM items"),
     "fingerprint_pages": query(("web",), f"SELECT entry_ord AS page_id, {fp('title')} AS fp FROM web"),
     "batch_dedupe": query(("doc_batch",), f"SELECT {BATCH} FROM doc_batch"),
     "seed_ledger": query(
@@ -336,16 +336,16 @@ ORACLE = {
     "first_sightings": query(
         ("items",),
         f"""SELECT * FROM ({winners(
-            f'(SELECT *, entry_ord // {V.DOCUMENTS_PER_POLL} AS poll_id FROM items)', 'poll_id, ' + ITEM_ORDER)})
+            f'(SELECT feed_ord, entry_ord, title, link, source, doc_id // {V.DOCUMENTS_PER_POLL} AS poll_id FROM items)', 'poll_id, ' + ITEM_ORDER)})
             WHERE poll_id > 0""",
     ),
-    "topic_sweep": query(("hits",), "SELECT doc_id, sweep, terms FROM hits"),
+    "topic_sweep": query(("hits",), "SELECT doc_id, line_no, sweep, terms FROM hits"),
     "sweep_recent": """
         SELECT event_id, event_type FROM events
         WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
     "reader_prompts": query(
         ("items",),
-        f"""SELECT entry_ord AS doc_id,
+        f"""SELECT doc_id, line_no,
                    md5({text(PROMPT)} || 'Source: ' || source || chr(10) || 'Headline: ' || title) AS prompt_md5
             FROM items""",
     ),
@@ -361,11 +361,11 @@ ORACLE = {
     ),
     "lexicon_reads": query(
         ("hits",),
-        f"""SELECT doc_id, coalesce(sweep, 'drop') AS category, {OPENING} AS read,
+        f"""SELECT doc_id, line_no, coalesce(sweep, 'drop') AS category, {SPOKEN} AS read,
                    CAST(greatest(1, least(4, coalesce(n, 0))) AS INTEGER) AS severity,
                    CASE WHEN n >= 3 THEN 'high' WHEN n = 2 THEN 'medium' ELSE 'low' END AS confidence
             FROM padded LEFT JOIN (
-                SELECT doc_id, max(n) AS n, {COLUMNS_OF_HIT} AS sweep FROM hits GROUP BY doc_id) USING (doc_id)""",
+                SELECT entry_ord, max(n) AS n, {COLUMNS_OF_HIT} AS sweep FROM hits GROUP BY entry_ord) USING (entry_ord)""",
     ),
     "decode_envelope": query(("raws",), "SELECT event_id, raw FROM raws"),
     "decode_replies": query(
@@ -430,7 +430,7 @@ ORACLE = {
     "posted_counts": query(("outcomes",), f"SELECT {POSTED} FROM outcomes"),
     "status_snapshot": query(
         ("replayed",),
-        f"""SELECT least((SELECT count(*) FROM reads), {LEDGER_CAP}) AS seen,
+        f"""SELECT (SELECT count(*) FROM reads) AS seen,
                    (SELECT count(*) FROM cards) - count(*) AS queued, {POSTED},
                    (SELECT max(poll_id) FROM reads) * {POLL_SECONDS} AS last_poll_unix,
                    count(*) FILTER (WHERE outcome = 'posted') AS posted_total,

@@ -14,7 +14,7 @@ from newsdesk.functions.cards import CARD_TYPE, card_json, meter
 from newsdesk.functions.text import fingerprint
 from newsdesk.operators import dedupe, delivery, queue, reads, status
 from newsdesk.operators.decode import with_reply, with_response
-from newsdesk.operators.joins import sized, with_band, with_channel, with_skin
+from newsdesk.operators.joins import with_band, with_channel, with_skin
 from newsdesk.plans import views as V
 from newsdesk.session import checkpoint_folder
 from newsdesk.sources import catalogue, items, params
@@ -41,9 +41,9 @@ def feed_catalogue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sweep_urls(spark: SparkSession, folder: str) -> DataFrame:
-    """Search address of every title taken as a query."""
+    """Search address of every line taken as a query."""
     return V.document_items(spark, folder).select(
-        F.col("entry_ord").alias("doc_id"), catalogue.search_url(F.col("title")).alias("url")
+        *V.line_columns(), catalogue.search_url(F.col("title")).alias("url")
     )
 
 
@@ -103,7 +103,7 @@ def gathered_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def fingerprint_docs(spark: SparkSession, folder: str) -> DataFrame:
     return V.document_items(spark, folder).select(
-        F.col("entry_ord").alias("doc_id"), fingerprint(F.col("title")).alias("fp")
+        *V.line_columns(), fingerprint(F.col("title")).alias("fp")
     )
 
 
@@ -168,7 +168,7 @@ def first_sightings(spark: SparkSession, folder: str) -> DataFrame:
 def topic_sweep(spark: SparkSession, folder: str) -> DataFrame:
     hits = reads.swept(V.document_items(spark, folder), V.LEXICON)
     return hits.select(
-        F.col("entry_ord").alias("doc_id"), "sweep", F.array_join("terms", "|").alias("terms")
+        *V.line_columns(), "sweep", F.array_join("terms", "|").alias("terms")
     )
 
 
@@ -180,7 +180,7 @@ def sweep_recent(spark: SparkSession, folder: str) -> DataFrame:
 
 def reader_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return V.document_items(spark, folder).select(
-        F.col("entry_ord").alias("doc_id"), F.md5(reads.prompt()).alias("prompt_md5")
+        *V.line_columns(), F.md5(reads.prompt()).alias("prompt_md5")
     )
 
 
@@ -210,7 +210,7 @@ def reader_replies(spark: SparkSession, folder: str) -> DataFrame:
 
 def lexicon_reads(spark: SparkSession, folder: str) -> DataFrame:
     read = reads.lexicon_reads(V.document_items(spark, folder), V.LEXICON)
-    return read.select(F.col("entry_ord").alias("doc_id"), *reads.READ_COLUMNS)
+    return read.select(*V.line_columns(), *reads.READ_COLUMNS)
 
 
 def decode_envelope(spark: SparkSession, folder: str) -> DataFrame:
@@ -372,7 +372,7 @@ def poll_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 def poll_summary(spark: SparkSession, folder: str) -> DataFrame:
     _, flow = _history(spark, folder)
-    return queue.poll_summary(flow, dedupe.LEDGER_CAP).withColumn("line", status.poll_line())
+    return queue.poll_summary(flow).withColumn("line", status.poll_line())
 
 
 def posted_counts(spark: SparkSession, folder: str) -> DataFrame:
@@ -384,7 +384,6 @@ def status_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     history, flow = _history(spark, folder)
     replayed = queue.queue_replay(history, flow, FLOOR, "event_id")
     popped = _outcomes(replayed, spark).select("event_id", "outcome")
-    popped = sized(popped, queue.departed(flow))
     state = history.join(popped, "event_id", "left").withColumn(
         "queued", reads.is_cleared(FLOOR) & F.col("outcome").isNull()
     )
@@ -409,7 +408,7 @@ def feedcheck_rollup(spark: SparkSession, folder: str) -> DataFrame:
 def _activity(spark: SparkSession, folder: str) -> DataFrame:
     """Lines of the replayed history: each poll's line, then those of its pops."""
     history, flow = _history(spark, folder)
-    polls = queue.poll_summary(flow, dedupe.LEDGER_CAP).select(
+    polls = queue.poll_summary(flow).select(
         "poll_id", F.lit(0).cast("bigint").alias("place"), status.poll_line().alias("line")
     )
     replayed = queue.queue_replay(history, flow, FLOOR, "event_id")

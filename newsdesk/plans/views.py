@@ -10,6 +10,8 @@ from newsdesk.sources.items import page_items, pooled
 from newsdesk.sources.params import Params
 
 PAGES_FEED = 20
+# Place of a line within the position of its document: lines of one document in order, then those of the next.
+LINE_BITS = 24
 DOCUMENTS_PER_POLL = 50
 POLL_MINUTES = 10
 
@@ -35,7 +37,7 @@ PARAMS = Params(
     drip_seconds=600,
 )
 
-# Frequent words of the given titles, so that every band and run length matches.
+# Frequent words of the given lines, so that every band and run length matches.
 LEXICON = {
     "financial": ("rewh", "orantion", "attion to", "in the"),
     "political": ("hehely", "thanea", "of the", "was the"),
@@ -55,22 +57,35 @@ def by_type(pairs: dict[str, str]) -> Column:
     return value
 
 
+def feed_number() -> Column:
+    return F.expr("try_cast(substring(source, 4) AS INT)")
+
+
 def document_items(spark: SparkSession, folder: str) -> DataFrame:
-    """First lines as titles; every third one carries its source as a publisher suffix."""
+    """Every line as a title; those of every third document carry its source as a publisher suffix."""
     suffix = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit(" - "), "source")).otherwise("")
-    return table(spark, folder, "documents").select(
-        F.substring("source", 4, 9).cast("int").alias("feed_ord"),
-        F.col("doc_id").alias("entry_ord"),
-        F.concat(F.substring_index("text", "\n", 1), suffix).alias("title"),
+    lines = table(spark, folder, "documents").select(
+        "doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "line")
+    )
+    return lines.select(
+        feed_number().alias("feed_ord"),
+        (F.shiftleft("doc_id", LINE_BITS) + F.col("line_no")).alias("entry_ord"),
+        F.concat("line", suffix).alias("title"),
         F.lit("").alias("link"),
         "source",
     )
 
 
+def line_columns() -> list[Column]:
+    """The document and line of an item of :func:`document_items`."""
+    line = F.col("entry_ord").bitwiseAND(F.lit((1 << LINE_BITS) - 1)).cast("int")
+    return [F.shiftright("entry_ord", LINE_BITS).alias("doc_id"), line.alias("line_no")]
+
+
 def document_history(spark: SparkSession, folder: str) -> DataFrame:
     """Document items in the polls that gathered them, in order of arrival."""
     return document_items(spark, folder).withColumn(
-        "poll_id", F.floor(F.col("entry_ord") / DOCUMENTS_PER_POLL).cast("bigint")
+        "poll_id", F.expr(f"shiftright(entry_ord, {LINE_BITS}) div {DOCUMENTS_PER_POLL}")
     )
 
 
@@ -120,7 +135,7 @@ def document_payloads(spark: SparkSession, folder: str) -> DataFrame:
     cut_off = (F.col("source") == "src7") & (F.col("lang") == "en")
     cut = F.when(cut_off, F.left("body", F.length("body") - 10)).otherwise(F.col("body"))
     return payloads.select(
-        "doc_id", F.substring("source", 4, 9).cast("int").alias("feed_ord"), cut.alias("body")
+        "doc_id", feed_number().alias("feed_ord"), cut.alias("body")
     )
 
 
@@ -131,7 +146,7 @@ def wall_seconds(ts: Column) -> Column:
 
 
 def event_number() -> Column:
-    return F.get_json_object("props", "$.k").cast("int")
+    return F.get_json_object("props", "$.k").try_cast("int")
 
 
 def event_reads(spark: SparkSession, folder: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.operators.dedupe import LEDGER_CAP, LEDGER_COLUMNS, capped
+from newsdesk.operators.dedupe import LEDGER_COLUMNS, capped
 
 LEDGER_SCHEMA = "fp STRING, poll_id BIGINT, feed_ord INT, entry_ord BIGINT"
 
@@ -59,7 +59,7 @@ class LedgerTable(BatchTable):
 
     options = {"ignoreCorruptFiles": "true"}
 
-    def __init__(self, spark: SparkSession, path: str, cap: int | None = LEDGER_CAP):
+    def __init__(self, spark: SparkSession, path: str, cap: int | None = None):
         super().__init__(spark, path, LEDGER_SCHEMA)
         self.cap = cap
 
@@ -70,11 +70,7 @@ class LedgerTable(BatchTable):
         return self.read().where(F.col("batch_id") < batch_id).drop("batch_id")
 
     def insert(self, sightings: DataFrame, batch_id: int) -> None:
-        """Append ``sightings`` and evict.
-
-        The ledger holds none of them, or has forgotten them in the course of this very
-        batch; the cap then removes their older rows.
-        """
+        """Append ``sightings``, of which the ledger holds none, and evict."""
         fresh = sightings.select(*LEDGER_COLUMNS)
         if self.cap is not None:
             fresh = capped(self.before(batch_id).unionByName(fresh), self.cap)

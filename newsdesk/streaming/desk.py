@@ -60,7 +60,7 @@ class Desk:
         params_path: str | None = None,
         poster: delivery.Poster | None = None,
         dry: bool = False,
-        cap: int | None = dedupe.LEDGER_CAP,
+        cap: int | None = None,
         clock: Callable[[], float] = time.time,
     ):
         self.spark, self.root, self.reader, self.poster = spark, root, reader, poster
@@ -72,6 +72,8 @@ class Desk:
 
         self.ledger = LedgerTable(spark, f"{root}/ledger", cap)
         self.gathered = table("gathered", ITEM_SCHEMA)
+        self.reads = table("reads", READS_SCHEMA)
+        self.read_done = table("read_done", "reads BIGINT")
         self.cards = table("cards", CARD_SCHEMA)
         self.polls = table("polls", "new BIGINT, seen BIGINT, unix BIGINT")
         self.popped = table("popped", f"{CARD_SCHEMA}, place BIGINT")
@@ -110,9 +112,7 @@ class Desk:
             return
         if self.ledger.cap is None:
             ledger = dedupe.known(ledger, batch)
-        self._ask(dedupe.unseen(batch, ledger), poll_id, 0)
-        if self.ledger.cap is not None:
-            self._ask_forgotten(batch, ledger, poll_id)
+        self._ask(dedupe.unseen(batch, ledger), poll_id)
         good = reads.succeeded(self.reads_of(poll_id))
         self.ledger.insert(dedupe.seeded(good, poll_id), poll_id)
         cards = reads.cleared(good, self.params.min_severity)
@@ -121,45 +121,17 @@ class Desk:
         queued = self._queued() + new
         self._finish_poll(poll_id, new, seen, f"poll: {new} new · {queued} queued · {seen} seen")
 
-    def _round(self, number: int) -> tuple[BatchTable, BatchTable]:
-        """Reads of one round of a poll, and the record that they are complete."""
-        rows = BatchTable(self.spark, f"{self.root}/reads/round={number}", READS_SCHEMA)
-        return rows, BatchTable(self.spark, f"{self.root}/read_done/round={number}", "reads BIGINT")
-
-    def _ask(self, items: DataFrame, poll_id: int, number: int) -> None:
-        """Read items once: a finished round is never asked again."""
-        rows, done = self._round(number)
-        if not done.has(poll_id):
-            rows.write(self.reader(items), poll_id)
-            done.write(rows.at(poll_id).agg(F.count("*").alias("reads")), poll_id)
-
-    def _ask_forgotten(self, batch: DataFrame, ledger: DataFrame, poll_id: int) -> None:
-        """Read again the known items that this poll's inserts evict before their turn.
-
-        Items are taken in batch order, and each successful read may push the oldest
-        fingerprint out of a full ledger. Re-reads are inserts too, so rounds repeat
-        until none is due; most polls have none.
-        """
-        if ledger.count() + batch.count() <= self.ledger.cap:
-            return
-        known = dedupe.evictable(batch, ledger, self.ledger.cap)
-        number = 1
-        while True:
-            asked = self.reads_of(poll_id, number)
-            pending = known.join(asked.select("fp"), "fp", "left_anti").select(*known.columns)
-            due = dedupe.forgotten(pending, reads.succeeded(asked)).drop("limit")
-            if due.isEmpty() and not self._round(number)[1].has(poll_id):
-                return
-            self._ask(due, poll_id, number)
-            number += 1
-
-    def reads_of(self, poll_id: int, rounds: int | None = None) -> DataFrame:
-        """Finished rounds of reads of one poll, or the first ``rounds`` of them."""
-        found, number = self._round(0)[0].at(poll_id), 1
-        while number != rounds and self._round(number)[1].has(poll_id):
-            found = found.unionByName(self._round(number)[0].at(poll_id))
-            number += 1
-        return found
+    def _ask(self, items: DataFrame, poll_id: int) -> None:
+        """Read items once: finished reads are never asked again."""
+        if not self.read_done.has(poll_id):
+            self.reads.write(self.reader(items), poll_id)
+            done = self.reads.at(poll_id).agg(F.count("*").alias("reads"))
+            self.read_done.write(done, poll_id)
+
+    def reads_of(self, poll_id: int) -> DataFrame:
+        """Reads of one poll, if they are complete."""
+        done = self.read_done.has(poll_id)
+        return self.reads.at(poll_id) if done else self.spark.createDataFrame([], READS_SCHEMA)
 
     def _finish_poll(self, poll_id: int, new: int, seen: int, line: str) -> None:
         unix, place = self._now(), F.lit(poll_id).cast("bigint")

