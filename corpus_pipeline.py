@@ -26,9 +26,9 @@ def good_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more of their 5-word shingles."""
+    """One document of each group linked by a Jaccard similarity of 0.85 or more of their 5-word shingles."""
     ship_package(spark)
-    return one_of_each(docs, n=5, num=80, den=100)
+    return one_of_each(docs, n=5, num=85, den=100)
 
 
 def no_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

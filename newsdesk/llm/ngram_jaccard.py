@@ -15,7 +15,8 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
+from math import exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +48,30 @@ class Parts:
     def class_of(self, size: np.ndarray) -> np.ndarray:
         return np.floor(np.log(np.maximum(size, 1)) / np.log(CLASS_RATIO) + 1e-9).astype(np.int64)
 
-    def count(self, number: int) -> tuple[int, int]:
-        """Parts of a class, and how many of them a set may leave unused."""
-        a = int(np.ceil(CLASS_RATIO ** (number + 1))) + 1
-        k = int((a + a * self.den // self.num + 1) * (self.den - self.num) // (self.den + self.num))
-        spare = 1 + k // (8 if 10 * self.num > 8 * self.den else 16)
-        return k + 1 + spare, spare
+    @cache
+    def count(self, number: int) -> tuple[int, int, int]:
+        """Parts of a class, how many of them a set may leave unused, and the tokens of a used one at least.
 
-    def keys(self, tokens: np.ndarray, weak: int) -> np.ndarray:
+        Keys of few tokens are weak: a common passage makes many of them. So as many parts are dealt as leave enough
+        of the wanted strength, but for four standard deviations; sets beyond use all parts.
+        """
+        low, a = CLASS_RATIO**number, int(np.ceil(CLASS_RATIO ** (number + 1))) + 1
+        k = int((a + a * self.den // self.num + 1) * (self.den - self.num) // (self.den + self.num))
+        for strength in (4, 3, 2, 1):
+            for m in range(k + 2, 8 * k + 16):
+                rate = low / m
+                few = exp(-rate) * sum(rate**i / factorial(i) for i in range(strength))
+                if m - k - 1 >= m * few + 4 * sqrt(m * few * (1 - few)):
+                    return m, m - k - 1, strength
+        return k + 1, 0, 0
+
+    def keys(self, tokens: np.ndarray) -> np.ndarray:
         """A key for each part, of each class in which the set can be one of a linked pair."""
         size = len(tokens)
         least = -(-size * self.num // self.den)
         out = []
         for number in sorted({int(self.class_of(np.array([s]))[0]) for s in (size, least)}):
-            m, spare = self.count(number)
+            m, spare, strength = self.count(number)
             part = (tokens >> np.uint64(20)) % np.uint64(m)
             part = part.astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -69,14 +80,13 @@ class Parts:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(tokens[order]))])
             salt = np.uint64((number * 1_000_003 + 17) & 0xFFFFFFFF) * np.uint64(arrays.MIX_2 & 0xFFFFFFFF)
             key = arrays.mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ (np.arange(m, dtype=np.uint64) * np.uint64(arrays.WORD_BASE) + salt))
-            strong = filled >= weak
+            strong = filled >= strength
             out.append(key if (~strong).sum() > spare else key[strong])
         return np.concatenate(out)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     parts = Parts(num, den)
-    weak = 3 if 10 * num > 8 * den else 2
     for batch in batches:
         for piece in arrays.slices(batch, "text"):
             rows, tokens = arrays.shingles(arrays.words_of(piece.column("text"), lower=True), n)
@@ -89,7 +99,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iter
             for i in range(piece.num_rows):
                 own = tokens[bounds[i] : bounds[i + 1]]
                 if known[i] and len(own) >= parts.first:
-                    keys.append(parts.keys(own, weak))
+                    keys.append(parts.keys(own))
                     ends.append(ends[-1] + len(keys[-1]))
                 else:
                     ends.append(ends[-1])
@@ -169,7 +179,7 @@ def similar_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100
     total = reps.groupBy("cluster").agg(F.sum("weight").alias("total"), F.count("*").alias("members")).where("members > 1")
     reps = reps.join(total, "cluster").select(
         "doc_id", "cluster", F.ceil(F.col("total") / block_tokens).alias("blocks"),
-        (F.pmod(F.xxhash64("doc_id", F.lit("anchor")), F.lit(1 << 40)) * F.col("total") < F.lit(1 << 40) * F.lit(float(ANCHOR_TOKENS))).alias("anchors"),
+        (F.pmod(F.xxhash64("doc_id", F.lit("anchor")), F.lit(1 << 40)).cast("double") * F.col("total") < F.lit(1 << 40) * F.lit(float(ANCHOR_TOKENS))).alias("anchors"),
     )
     members = docs.join(reps, "doc_id").mapInArrow(partial(_tokens, n=n), "doc_id long, cluster long, blocks long, anchors boolean, tokens binary")
     members = written(members, "jaccard-members").withColumn("home", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
@@ -206,7 +216,7 @@ def _between_blocks(wide: DataFrame, found: DataFrame, num: int, den: int, block
     return _compared(blocks.select("block", "doc_id", "label", "visitor", "tokens"), num, den)
 
 
-def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 85, den: int = 100) -> DataFrame:
     """Rows of ``docs``, all columns: of each group of linked documents the one of least ``doc_id`` stays.
 
     Of rows that share its ``doc_id`` the one of least text stays; rows with a null ``doc_id`` all stay.
