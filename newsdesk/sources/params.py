@@ -114,14 +114,20 @@ def save_tuning(
     """Clamp the three tuning keys and replace them in the document; other keys stay.
 
     Spark writes the document as a folder of one text file, which :func:`load_params`
-    reads like a plain file.
+    reads like a plain file. It is written beside the old one and then takes its place; if a
+    crash comes between the two, the new document is still there under ``<path>.new``.
     """
     document = json.loads(spark.read.text(path, wholetext=True).head()[0])
     tuned = Params().tuned(min_severity, poll_minutes, drip_seconds)
     document.update({key: getattr(tuned, key) for key in TUNING_KEYS})
     text = json.dumps(document, indent=2, ensure_ascii=False)
     row = spark.range(0, 1, 1, 1).select(F.lit(text).alias("value"))
-    row.write.mode("overwrite").text(path)
+    row.write.mode("overwrite").text(f"{path}.new")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    old, new = hadoop.Path(path), hadoop.Path(f"{path}.new")
+    files = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.delete(old, True)
+    files.rename(new, old)
 
 
 def parsed_documents(documents: DataFrame, column: str = "document") -> DataFrame:

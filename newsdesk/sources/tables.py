@@ -22,14 +22,12 @@ def one_row(spark: SparkSession, **values: Column) -> DataFrame:
 class BatchTable:
     """Rows by ``batch_id`` under one folder; an absent folder is an empty table."""
 
-    options: dict[str, str] = {}
-
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
 
     def _scan(self, path: str, schema: str) -> DataFrame:
         try:
-            return self.spark.read.options(**self.options).schema(schema).parquet(path)
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -54,11 +52,10 @@ class LedgerTable(BatchTable):
 
     With a cap every batch holds the whole ledger, at most ``cap`` rows. Without one a
     batch holds only its own inserts, so that a poll never rewrites older fingerprints.
-    A ledger that is missing or cannot be read counts as empty, and is seeded again.
+    A ledger that is missing counts as empty, and is seeded; one with a damaged file is an error,
+    as reading on without a part of it would read and post that part's items again.
     """
 
-    options = {"ignoreCorruptFiles": "true"}
-
     def __init__(self, spark: SparkSession, path: str, cap: int | None = None):
         super().__init__(spark, path, LEDGER_SCHEMA)
         self.cap = cap

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from newsdesk.functions.cards import card_json
 from newsdesk.operators import dedupe, delivery, queue, reads, status
 from newsdesk.sources import catalogue
 from newsdesk.sources.items import ITEM_COLUMNS
@@ -82,8 +83,10 @@ class Desk:
         )
         self.deliveries = table(
             "deliveries",
-            f"{CARD_SCHEMA}, place BIGINT, channel STRING, failure STRING, outcome STRING, line STRING",
+            f"{CARD_SCHEMA}, place BIGINT, channel STRING, payload STRING, failure STRING, outcome STRING, line STRING",
         )
+        self.popped_done = table("popped_done", "rows BIGINT")
+        self.deliveries_done = table("deliveries_done", "rows BIGINT")
         self.ticks = table("ticks", f"popped BIGINT, {POSTED_SCHEMA}, unix BIGINT")
         self.poll_log = table("poll_log", LOG_SCHEMA)
         self.tick_log = table("tick_log", LOG_SCHEMA)
@@ -169,22 +172,33 @@ class Desk:
         return cards.where(reduce(or_, passed, ~F.col("severity").isin(*marks)))
 
     def drip(self, tick_id: int) -> None:
-        """Pop the strongest cards, deliver them, and record that they have left."""
+        """Pop the strongest cards, deliver them, and record that they have left.
+
+        What a tick popped is fixed once, and so is what it delivered: a tick that is run again
+        takes the same cards, and hands none to the poster after its deliveries are complete.
+        """
         self.refresh_params()
         if self.ticks.has(tick_id):
+            if not self.snapshots.has(tick_id):
+                self.snapshots.write(self.status(), tick_id)
             return
-        front = queue.popped(self.waiting(tick_id), self.params.max_per_drop, *ARRIVAL)
-        self.popped.write(queue.with_place(front, *ARRIVAL), tick_id)
+        if not self.popped_done.has(tick_id):
+            front = queue.popped(self.waiting(tick_id), self.params.max_per_drop, *ARRIVAL)
+            self.popped.write(queue.with_place(front, *ARRIVAL), tick_id)
+            self._complete(self.popped, self.popped_done, tick_id)
         popped = self.popped.at(tick_id)
-        cards = delivery.routed(popped, self.params.routes(self.spark))
-        if self.poster is None or self.dry:
-            cards = cards.drop("card").withColumn("failure", F.lit(None).cast("string"))
-        else:
-            cards = delivery.posted_by(cards, self.poster)
-        named = [f.strip().split(" ")[0] for f in self.deliveries.schema.split(",")]
-        self.deliveries.write(
-            delivery.with_outcome(cards, self.dry, "failure").select(*named), tick_id
-        )
+        if not self.deliveries_done.has(tick_id):
+            cards = delivery.routed(popped, self.params.routes(self.spark))
+            cards = cards.withColumn("payload", card_json(F.col("card")))
+            if self.poster is None or self.dry:
+                cards = cards.drop("card").withColumn("failure", F.lit(None).cast("string"))
+            else:
+                cards = delivery.posted_by(cards, self.poster)
+            named = [f.strip().split(" ")[0] for f in self.deliveries.schema.split(",")]
+            self.deliveries.write(
+                delivery.with_outcome(cards, self.dry, "failure").select(*named), tick_id
+            )
+            self._complete(self.deliveries, self.deliveries_done, tick_id)
         left = popped.groupBy("severity").agg(F.max(F.struct(*ARRIVAL)).alias("_last"))
         marks = left.select("severity", "_last.*").unionByName(self.drained.at(tick_id - 1))
         last = marks.groupBy("severity").agg(F.max(F.struct(*ARRIVAL)).alias("_last"))
@@ -198,6 +212,10 @@ class Desk:
         self.ticks.write(counts.withColumn("unix", unix), tick_id)
         self.snapshots.write(self.status(), tick_id)
 
+    @staticmethod
+    def _complete(rows: BatchTable, done: BatchTable, batch_id: int) -> None:
+        done.write(rows.at(batch_id).agg(F.count("*").alias("rows")), batch_id)
+
     # Reports
 
     def activity(self) -> DataFrame:

@@ -121,11 +121,13 @@ def test_pop_and_remainder(spark):
     assert drained == [3, 2, 1, 5, 0, 4]
 
 
-def test_unreadable_ledger_counts_as_empty(spark, tmp_path):
+def test_damaged_ledger_is_an_error_and_a_missing_one_empty(spark, tmp_path):
+    assert LedgerTable(spark, str(tmp_path / "none")).before(1).isEmpty()
     table = LedgerTable(spark, str(tmp_path / "ledger"))
     table.insert(ledger_of(spark, [("a", 0, 0, 0)]), 0)
     for file in (tmp_path / "ledger" / "batch_id=0").glob("part-*"):
         file.write_bytes(b"not a table")
     for checksum in (tmp_path / "ledger" / "batch_id=0").glob(".part-*"):
         checksum.unlink()
-    assert table.before(1).isEmpty()
+    with pytest.raises(Exception, match="FAILED_READ_FILE|CANNOT_READ"):
+        table.before(1).collect()

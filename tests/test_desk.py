@@ -167,6 +167,35 @@ def test_rerun_of_a_batch_changes_nothing_and_reads_nothing_twice(spark, tmp_pat
     assert sorted(r.title for r in resumed.waiting(0).collect()) == sorted(c[2][2] for c in waiting)
 
 
+@pytest.mark.parametrize("table", ["popped", "deliveries", "drained", "tick_log", "ticks"])
+def test_a_retried_tick_delivers_the_same_cards_once(spark, tmp_path, table):
+    """A crash after each write, and a stronger card that arrives before the retry."""
+    titles = [t for t in (f"story {n}" for n in range(80)) if answer(t)["category"] != "sport"]
+    strong = max(titles, key=lambda t: answer(t)["severity"])
+    weak = [t for t in titles if 2 <= answer(t)["severity"] < answer(strong)["severity"]][:4]
+    polls = [[(9, 0, "seed", "", "s")], [(0, n, t, "", "s") for n, t in enumerate(weak)]]
+    desk = run(spark, tmp_path, polls, 0)
+    write = getattr(desk, table).write
+
+    def then_crash(rows, batch_id):
+        write(rows, batch_id)
+        if table in ("popped", "deliveries"):
+            getattr(desk, f"{table}_done").write(spark.range(1).selectExpr("id as rows"), batch_id)
+        raise RuntimeError("lost")
+
+    getattr(desk, table).write = then_crash
+    with pytest.raises(RuntimeError):
+        desk.drip(0)
+    first = [r.title for r in desk.popped.at(0).collect()]
+    again = Desk(spark, str(tmp_path), model_reader(reader), PARAMS)
+    again.poll(spark.createDataFrame([(0, 99, strong, "", "s")], ITEM), 2)
+    again.drip(0)
+    again.drip(1)
+    rows = again.deliveries.read().collect()
+    assert [r.title for r in rows if r.batch_id == 0] == first and strong in {r.title for r in rows if r.batch_id == 1}
+    assert all('"embeds"' in r.payload for r in rows) and again.snapshots.has(0)
+
+
 def test_cards_that_share_a_position_all_leave(spark, tmp_path):
     # Two payloads of one feed landed in the same poll.
     titles = [t for t in (f"story {n}" for n in range(60)) if answer(t)["category"] != "sport"][:7]
