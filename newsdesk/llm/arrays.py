@@ -7,8 +7,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 """Text of one numpy pass; an array of words or hashes then takes some tens of MB."""
 
 # Odd multipliers of the polynomial hashes and of the final mix (any odd numbers do).
@@ -146,6 +147,25 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[keep], hashes[keep]
 
 
+def squeezed(text: pa.Array) -> pa.Array:
+    """Each text's UTF-8 in zstd, for a shuffle of texts; a null is an empty text."""
+    raw, off = byte_view(text)
+    data, press = raw.tobytes(), zstandard.ZstdCompressor(level=3)
+    return pa.array([press.compress(data[a:b]) for a, b in zip(off.tolist(), off[1:].tolist(), strict=False)], pa.binary())
+
+
+def unsqueezed(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with ``text`` unpacked again, each of about ``most`` bytes."""
+    at = batch.schema.get_field_index("text")
+    reader, texts, size, start = zstandard.ZstdDecompressor(), [], 0, 0
+    for i, packed in enumerate(batch.column(at)):
+        texts.append(reader.decompress(packed.as_buffer()))
+        size += len(texts[-1])
+        if size >= most or i == batch.num_rows - 1:
+            yield batch.slice(start, i + 1 - start).set_column(at, "text", pa.array(texts, pa.binary()))
+            texts, size, start = [], 0, i + 1
+
+
 def list_array(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(values, kind))
 

@@ -75,16 +75,16 @@ def places(words: arrays.Words, n: int) -> np.ndarray:
     return hashes[~sliding_least(~of_window, span) == hashes]
 
 
-def columns(anchor: np.ndarray) -> list[np.ndarray]:
+def cells(anchor: np.ndarray, columns: int) -> list[np.ndarray]:
     """The cell of each row of the sketch that counts the anchor."""
     out = []
     for row in range(DEPTH):
-        out.append((anchor & np.uint64(COLUMNS - 1)).astype(np.int64) + row * COLUMNS)
+        out.append((anchor & np.uint64(columns - 1)).astype(np.int64) + row * columns)
         anchor = arrays.mix(anchor)
     return out
 
 
-def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], n: int, columns: int) -> Iterator[pa.RecordBatch]:
     """A row per document (words, digest, hash of the words), and a row per block of the batch's sketch."""
     for batch in batches:
         found = []
@@ -97,13 +97,13 @@ def _profile(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBat
             found.append(places(words, n))
             nothing = pa.nulls(piece.num_rows, pa.int32()), pa.nulls(piece.num_rows, pa.binary())
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(np.diff(words.bounds)), pa.array(d1), pa.array(d2), pa.array(whole, pa.binary()), *nothing], names=PROFILE_NAMES)
-        at = np.sort(np.concatenate([c for anchor in found for c in columns(anchor)])) if found else np.zeros(0, np.int64)
+        at = np.sort(np.concatenate([c for anchor in found for c in cells(anchor, columns)])) if found else np.zeros(0, np.int64)
         block = at // BLOCK
         cuts = np.flatnonzero(np.diff(block, prepend=-1))
         raw, ends = (at % BLOCK).astype(np.uint16).tobytes(), [*cuts[1:], len(at)]
-        cells = pa.array([raw[2 * a : 2 * b] for a, b in zip(cuts, ends, strict=False)], pa.binary())
+        packed = pa.array([raw[2 * a : 2 * b] for a, b in zip(cuts, ends, strict=False)], pa.binary())
         empty = [pa.nulls(len(cuts), t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(block[cuts].astype(np.int32)), cells], names=PROFILE_NAMES)
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(block[cuts].astype(np.int32)), packed], names=PROFILE_NAMES)
 
 
 PROFILE = "doc_id long, n_words long, d1 long, d2 long, whole binary, block int, cells binary"
@@ -123,15 +123,15 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One block of the merged sketch: a bit for every column that counts two or more."""
     for table in arrays.groups(batches, "block"):
         counts = np.zeros(BLOCK, np.int64)
-        for cells in table.column("cells"):
-            counts += np.bincount(np.frombuffer(cells.as_buffer(), np.uint16), minlength=BLOCK)
+        for part in table.column("cells"):
+            counts += np.bincount(np.frombuffer(part.as_buffer(), np.uint16), minlength=BLOCK)
         bits = np.packbits(counts > 1, bitorder="little").tobytes()
         yield pa.RecordBatch.from_arrays([table.column("block").chunk(0)[:1], pa.array([bits], pa.binary())], names=["block", "bits"])
 
 
 def repeated(anchor: np.ndarray, bits: np.ndarray) -> np.ndarray:
     out = np.ones(len(anchor), bool)
-    for cell in columns(anchor):
+    for cell in cells(anchor, len(bits) * 8 // DEPTH):
         out &= ((bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
     return out
 
@@ -146,7 +146,8 @@ def _candidates(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[p
             start, anchor = anchors(words, n)
             rows = np.unique(words.row[start[repeated(anchor, bits)]])
             out = pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(d1), pa.array(d2), piece.column("text")], names=["doc_id", "d1", "d2", "text"])
-            yield out.take(pa.array(rows))
+            out = out.take(pa.array(rows))
+            yield out.set_column(3, "text", arrays.squeezed(out.column("text")))
 
 
 STRETCH = "kind long, anchor long, doc_id long, at int, size int, windows binary"
@@ -157,7 +158,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], n: int, sketch) -> Iterator[pa
     """Runs of windows with one anchor that is estimated as repeated: hash of their words, place, number, hashes."""
     bits = np.frombuffer(sketch.value, np.uint8)
     for batch in batches:
-        for piece in arrays.slices(batch, "text"):
+        for piece in arrays.unsqueezed(batch):
             words = arrays.words_of(piece.column("text"))
             start, anchor = anchors(words, n)
             wanted = repeated(anchor, bits)
@@ -190,34 +191,36 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kept(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        removed, kept = [], []
-        for text, starts in zip(batch.column("text"), batch.column("starts"), strict=True):
-            words = text.as_buffer().to_pybytes().split()
-            edge = np.zeros(len(words) + n + 1, np.int32)
-            at = starts.values.field("at").to_numpy(zero_copy_only=False)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + starts.values.field("size").to_numpy(zero_copy_only=False) + n - 1, -1)
-            gone = np.cumsum(edge)[: len(words)] > 0
-            removed.append(int(gone.sum()))
-            kept.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone, strict=True) if not g)).digest())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["rep", "removed", "rest"])
-
-
-def without_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
+        for piece in arrays.unsqueezed(batch):
+            removed, kept = [], []
+            for text, starts in zip(piece.column("text"), piece.column("starts"), strict=True):
+                words = text.as_py().split()
+                edge = np.zeros(len(words) + n + 1, np.int32)
+                at = starts.values.field("at").to_numpy(zero_copy_only=False)
+                np.add.at(edge, at, 1)
+                np.add.at(edge, at + starts.values.field("size").to_numpy(zero_copy_only=False) + n - 1, -1)
+                gone = np.cumsum(edge)[: len(words)] > 0
+                removed.append(int(gone.sum()))
+                kept.append(hashlib.sha256(b" ".join(w for w, g in zip(words, gone, strict=True) if not g)).digest())
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["rep", "removed", "rest"])
+
+
+def without_repeats(docs: DataFrame, n: int = WINDOW, columns: int = COLUMNS) -> DataFrame:
     """``doc_id, n_words, n_removed, kept_sha256`` of every row of ``docs`` (``doc_id`` long, ``text`` string)."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    pass_1 = written(docs.mapInArrow(partial(_profile, n=n), PROFILE), "windows-profile")
+    pass_1 = written(docs.mapInArrow(partial(_profile, n=n, columns=columns), PROFILE), "windows-profile")
     profile = pass_1.where("block is null").drop("block", "cells")
     blocks = pass_1.where("block is not null").select("block", "cells").repartition("block").sortWithinPartitions("block")
-    bits = bytearray(DEPTH * COLUMNS // 8)
+    bits = bytearray(DEPTH * columns // 8)
     for row in blocks.mapInArrow(_merged, "block int, bits binary").toLocalIterator():
         bits[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = row["bits"]
     sketch = spark.sparkContext.broadcast(bytes(bits))
+    del bits
 
     kinds = profile.where(f"doc_id is not null and n_words >= {n}").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     reps = kinds.groupBy("rep").agg(F.min(F.struct("d1", "d2")).alias("kind")).select(F.col("rep").alias("doc_id"), "kind.d1", "kind.d2")
-    found = docs.mapInArrow(partial(_candidates, n=n, sketch=sketch), "doc_id long, d1 long, d2 long, text string")
+    found = docs.mapInArrow(partial(_candidates, n=n, sketch=sketch), "doc_id long, d1 long, d2 long, text binary")
     same = (F.col("found.d1") == F.col("reps.d1")) & (F.col("found.d2") == F.col("reps.d2"))
     texts = found.alias("found").join(reps.alias("reps"), "doc_id").where(same).select("doc_id", "found.text")
     texts = written(texts.dropDuplicates(["doc_id"]), "windows-texts")
@@ -233,7 +236,8 @@ def without_repeats(docs: DataFrame, n: int = WINDOW) -> DataFrame:
     first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("times"))
     again = windows.join(first.where("times > 1"), "window").where("doc_id <> first.doc_id or at <> first.at")
     starts = later.union(again.select("doc_id", "at", F.lit(1).alias("size")))
-    starts = starts.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("starts"))
+    starts = written(starts.groupBy("doc_id").agg(F.collect_list(F.struct("at", "size")).alias("starts")), "windows-starts")
+    sketch.destroy()
     rest = texts.join(starts, "doc_id").mapInArrow(partial(_kept, n=n), "rep long, removed long, rest binary")
 
     named = reps.join(rest, F.col("doc_id") == F.col("rep"), "left").select("d1", "d2", F.col("doc_id").alias("rep"), "removed", "rest")
