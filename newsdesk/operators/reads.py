@@ -33,8 +33,8 @@ Return ONLY JSON of the form {"category":"","read":"","severity":1,"confidence":
 
 """
 
-# A reader maps the prompts of one Arrow batch to reply texts. It may raise, or return
-# an exception in place of a reply, to report a failed read.
+# A reader maps the prompts of one Arrow batch to reply texts, or exceptions for failed reads. When it
+# raises on a batch it is asked again prompt by prompt, so that one bad item fails alone.
 Reader = Callable[[pd.Series], Sequence[object]]
 
 
@@ -44,6 +44,15 @@ def prompt() -> Column:
     )
 
 
+def _answers(reader: Reader, prompts: pd.Series) -> list[object]:
+    try:
+        return list(reader(prompts))
+    except Exception as failure:
+        if len(prompts) == 1:
+            return [failure]
+    return [_answers(reader, prompts.iloc[[at]])[0] for at in range(len(prompts))]
+
+
 def with_replies(items: DataFrame, reader: Reader, parallelism: int | None = None) -> DataFrame:
     """Add ``raw`` and ``error`` by asking ``reader`` about every item.
 
@@ -59,10 +68,7 @@ def with_replies(items: DataFrame, reader: Reader, parallelism: int | None = Non
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            try:
-                answers = list(reader(batch["prompt"]))
-            except Exception as failure:
-                answers = [failure] * len(batch)
+            answers = _answers(reader, batch["prompt"])
             failed = [isinstance(a, Exception) or a is None for a in answers]
             yield batch.drop(columns="prompt").assign(
                 raw=[None if f else str(a) for a, f in zip(answers, failed, strict=True)],

@@ -4,6 +4,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -89,3 +90,16 @@ def test_fingerprints_are_computed_once_per_table(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_a_reader_that_raises_fails_one_item():
+    from newsdesk.operators.reads import _answers
+
+    def reader(prompts):
+        if (prompts == "bad").any():
+            raise ValueError("no")
+        return [p.upper() for p in prompts]
+
+    found = _answers(reader, pd.Series(["a", "bad", "b"]))
+    assert found[0] == "A" and isinstance(found[1], ValueError) and found[2] == "B"
+    assert _answers(reader, pd.Series([], dtype=object)) == []
