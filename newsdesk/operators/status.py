@@ -26,26 +26,26 @@ def posted_counts(deliveries: DataFrame) -> DataFrame:
 
 
 def status_snapshot(
-    state: DataFrame,
-    params: Params,
-    feeds: int,
-    last_poll: Column | None = None,
-    cap: int | None = None,
+    flow: DataFrame, popped: DataFrame, params: Params, feeds: int, cap: int | None = None
 ) -> DataFrame:
-    """One row from a single pass over ``state``.
+    """One row from the totals of a queue's ``flow`` and the ``category, outcome`` of its popped cards.
 
-    ``state`` holds every successful read with ``category``, ``queued`` (cleared and not
-    yet popped) and ``outcome`` (null until popped); ``last_poll`` is the aggregate of
-    the last poll's epoch seconds.
+    The flow has a row per poll and severity, so no read is looked at again.
     """
+    none = F.lit(None).cast("string")
+    polls = flow.groupBy("poll_id").agg(F.max("reads").alias("reads"), F.sum("new").alias("new"))
+    gone = popped.select(
+        F.lit(None).cast("bigint").alias("poll_id"), F.lit(0).cast("bigint").alias("reads"),
+        F.lit(0).cast("bigint").alias("new"), "category", "outcome",
+    )
+    state = polls.select("*", none.alias("category"), none.alias("outcome")).unionByName(gone)
     total = sum((F.col(f"posted_{band}") for band in BANDS[1:]), F.col(f"posted_{BANDS[0]}"))
-    never = F.lit(None).cast("bigint")
-    seen = F.count("*") if cap is None else F.least(F.count("*"), F.lit(cap))
+    seen = F.coalesce(F.sum("reads"), F.lit(0))
     return state.agg(
-        seen.alias("seen"),
-        F.count_if("queued").alias("queued"),
+        (seen if cap is None else F.least(seen, F.lit(cap))).alias("seen"),
+        (F.coalesce(F.sum("new"), F.lit(0)) - F.count("outcome")).alias("queued"),
         *posted_columns(),
-        (never if last_poll is None else last_poll).alias("last_poll_unix"),
+        (F.max("poll_id") * (params.poll_minutes * 60)).alias("last_poll_unix"),
     ).select(
         "*",
         total.alias("posted_total"),

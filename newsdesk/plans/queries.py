@@ -383,12 +383,8 @@ def status_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshot at the end of the replayed history."""
     history, flow = _history(spark, folder)
     replayed = queue.queue_replay(history, flow, FLOOR, "event_id")
-    popped = _outcomes(replayed, spark).select("event_id", "outcome")
-    state = history.join(popped, "event_id", "left").withColumn(
-        "queued", reads.is_cleared(FLOOR) & F.col("outcome").isNull()
-    )
-    last_poll = F.max("poll_id") * (V.POLL_MINUTES * 60)
-    return status.status_snapshot(state, V.PARAMS, len(catalogue.CATALOGUE), last_poll)
+    popped = _outcomes(replayed, spark).select("category", "outcome")
+    return status.status_snapshot(flow, popped, V.PARAMS, len(catalogue.CATALOGUE))
 
 
 def _health(spark: SparkSession, folder: str) -> DataFrame:
