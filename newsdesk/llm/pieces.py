@@ -30,7 +30,8 @@ from newsdesk.llm.storage import documents
 from newsdesk.llm.word_tokens import Arena
 
 BLANK = "▁"
-MOST_SEGMENTS, MOST_PAIRS = 3_000_000, 2_000_000
+MOST_SEGMENTS, MOST_PAIRS = 1_000_000, 500_000
+"""Entries kept by one Python worker (some 200 MB); a store is emptied beyond."""
 SEGMENT = regex.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 ONLY_BLANK = np.zeros(256, bool)
 ONLY_BLANK[0x20] = True
@@ -90,7 +91,7 @@ class Pieces:
         self.automaton = automaton
         self.text = {i: p for p, i in self.ids.items()}
         self.unknown_score = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.keys, self.places, self.store = np.zeros(0, np.uint64), np.zeros(0, np.int64), Arena()
 
     def _merged(self, symbols: list[str]) -> list[str]:
@@ -107,13 +108,14 @@ class Pieces:
 
     def _follows(self, a: int, b: int) -> bool:
         """Whether merging leaves the two pieces as they are, side by side."""
-        known = self.pairs.get((a, b))
+        pair = a << 32 | b
+        known = self.pairs.get(pair)
         if known is None:
             x, y = self.text[a], self.text[b]
             known = self._merged([*x, *y]) == [x, y]
             if len(self.pairs) >= MOST_PAIRS:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[pair] = known
         return known
 
     def segment(self, text: str) -> list[int]:
@@ -205,7 +207,7 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == b" " else text
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
+def encoded_batches(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     pieces = Pieces.of(model)
     for batch in batches:
         for part in arrays.slices(batch, "text"):
@@ -215,7 +217,7 @@ def _encoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.Recor
 
 def encoded(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids`` of every row of ``docs`` (``doc_id`` long, ``text`` string)."""
-    return docs.select("doc_id", "text").mapInArrow(partial(_encoded, model=model), "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(partial(encoded_batches, model=model), "doc_id long, ids array<int>")
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
@@ -233,7 +235,7 @@ def decoded(ids: DataFrame, model: str) -> DataFrame:
 def _both(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     """Ids of each text with their checksum, and the hash of what they decode to."""
     pieces = Pieces.of(model)
-    for batch in _encoded(batches, model):
+    for batch in encoded_batches(batches, model):
         flat, ends = batch.column("ids").flatten().to_numpy(), batch.column("ids").offsets.to_numpy()
         data = flat.astype("<u4").tobytes()
         bounds = list(zip(ends.tolist(), ends[1:].tolist(), strict=False))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.llm.pieces import encoded
+from newsdesk.llm.pieces import encoded_batches
 from newsdesk.llm.storage import documents, ship_package
 from newsdesk.session import checkpoint_folder
 
@@ -40,13 +40,20 @@ def _flat(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([pa.array([data[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())], names=["value"])
 
 
-def write_token_files(ids: DataFrame, path: str, end: int = END, width: int = 2) -> None:
-    """Flat files of the rows' ``ids``, gzipped, each document closed by ``end``.
+def _flat_texts(batches: Iterator[pa.RecordBatch], model: str, width: int) -> Iterator[pa.RecordBatch]:
+    return _flat(encoded_batches(batches, model), width)
+
+
+def write_token_files(docs: DataFrame, path: str, model: str | None = None, end: int = END, width: int = 2) -> None:
+    """Flat files of the rows' ``ids``, or of their texts' pieces by ``model``, gzipped; ``end`` closes each document.
 
     The end id is written as what parts the rows, so its bytes must be valid UTF-8 (below 128, for one).
     """
     apart = end.to_bytes(width, "little").decode()
-    flat = ids.select("ids").mapInArrow(partial(_flat, width=width), "value binary")
+    if model is None:
+        flat = docs.select("ids").mapInArrow(partial(_flat, width=width), "value binary")
+    else:
+        flat = docs.select("doc_id", "text").mapInArrow(partial(_flat_texts, model=model, width=width), "value binary")
     flat.select(F.col("value").cast("string")).write.option("lineSep", apart).option("compression", "gzip").text(path)
 
 
@@ -115,6 +122,6 @@ def token_counts(spark: SparkSession, path: str, end: int = END, width: int = 2,
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents, from token files of the table; ``part`` is the number of the file."""
     path = f"{checkpoint_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
-    write_token_files(encoded(documents(spark, sf_dir), MODEL), path)
+    write_token_files(documents(spark, sf_dir), path, MODEL)
     counts = token_counts(spark, path)
     return counts.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("part"), "document", "start", "n_tokens")

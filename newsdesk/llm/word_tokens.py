@@ -10,7 +10,7 @@ import regex
 
 from newsdesk.llm import arrays
 
-MOST_WORDS, MOST_CUTS = 4_000_000, 1_000_000
+MOST_WORDS, MOST_CUTS = 2_000_000, 600_000
 """Entries kept by one Python worker (about 200 MB); a store is emptied beyond."""
 
 # The tokenizer's own rule for cutting words (and the blank that parts them here), and what may not
