@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 """Text of one numpy pass; an array of words or hashes then takes some tens of MB."""
 
 # Odd multipliers of the polynomial hashes and of the final mix (any odd numbers do).

@@ -34,8 +34,8 @@ from newsdesk.llm.substring_dedup import NOTHING, sliding_least
 from newsdesk.llm.suffix_array import repeats
 
 LENGTH, GRAM = 400, 64
-HOT = 4_000
-SHARD_BYTES = 2_000_000
+HOT = 1_500
+SHARD_BYTES = 1_000_000
 
 
 def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
