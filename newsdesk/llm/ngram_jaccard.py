@@ -2,8 +2,10 @@
 
 Two documents link when ``den * |A & B| >= num * |A | B|``. Linked sets of sizes a <= b differ in at most
 k = (a + b)(den - num)/(den + num) tokens. Tokens are dealt by hash to k + 1 + e parts, so linked sets have
-1 + e equal parts at least; equal parts make candidates, without loss. Candidates form clusters; a cluster is
-cut into blocks of bounded weight, and signature trees find the exact links of each block and between blocks.
+1 + e equal parts at least, and the strongest of these, in an order that a part's tokens alone settle, is among the
+k + 1 strongest of both: those make candidates, without loss. Parts are the stronger, the more tokens they have that
+are not common in a sample of the documents, so that common passages do not chain candidates; any sample gives the
+same links. Candidates form clusters; a cluster is cut into blocks of bounded weight, and signature trees find the exact links of each block and between blocks.
 
 Results for odd input: a null or empty text has no shingle and is linked with nothing; rows with a null
 ``doc_id`` come back with a null component and take no part; rows that share a ``doc_id`` are one document;
@@ -16,7 +18,6 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from functools import cache, partial
-from math import exp, factorial, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,11 @@ BLOCK_TOKENS = 1_000_000
 ANCHOR_TOKENS = 50_000
 """Of a cluster of several blocks, every block also gets the same sets of about so many tokens."""
 
+SAMPLE, COMMON = 20_000, 3
+"""A token is common if it is in so many of about so many documents."""
+COMMON_BITS = 25
+"""Common tokens are told by so many of their bits (4 MB)."""
+
 SETS = "doc_id long, n_shingles long, d1 long, d2 long, keys array<long>"
 
 
@@ -49,29 +55,23 @@ class Parts:
         return np.floor(np.log(np.maximum(size, 1)) / np.log(CLASS_RATIO) + 1e-9).astype(np.int64)
 
     @cache
-    def count(self, number: int) -> tuple[int, int, int]:
-        """Parts of a class, how many of them a set may leave unused, and the tokens of a used one at least.
-
-        Keys of few tokens are weak: a common passage makes many of them. So as many parts are dealt as leave enough
-        of the wanted strength, but for four standard deviations; sets beyond use all parts.
-        """
-        low, a = CLASS_RATIO**number, int(np.ceil(CLASS_RATIO ** (number + 1))) + 1
-        k = int((a + a * self.den // self.num + 1) * (self.den - self.num) // (self.den + self.num))
-        for strength in (4, 3, 2, 1):
-            for m in range(k + 2, 8 * k + 16):
-                rate = low / m
-                few = exp(-rate) * sum(rate**i / factorial(i) for i in range(strength))
-                if m - k - 1 >= m * few + 4 * sqrt(m * few * (1 - few)):
-                    return m, m - k - 1, strength
-        return k + 1, 0, 0
-
-    def keys(self, tokens: np.ndarray) -> np.ndarray:
-        """A key for each part, of each class in which the set can be one of a linked pair."""
+    def count(self, number: int) -> tuple[int, int]:
+        """Parts of a class, and the largest size of a smaller set in it."""
+        a = int(np.ceil(CLASS_RATIO ** (number + 1))) + 1
+        return 2 * self.differing(a + a * self.den // self.num + 1) + 7, a
+
+    def differing(self, total: int) -> int:
+        """Tokens, and so parts, in which linked sets of so many tokens together differ at most."""
+        return total * (self.den - self.num) // (self.den + self.num)
+
+    def keys(self, tokens: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """Keys of the strongest parts, of each class in which the set can be one of a linked pair."""
         size = len(tokens)
         least = -(-size * self.num // self.den)
+        own = int(self.class_of(np.array([size]))[0])
         out = []
-        for number in sorted({int(self.class_of(np.array([s]))[0]) for s in (size, least)}):
-            m, spare, strength = self.count(number)
+        for number in sorted({own, int(self.class_of(np.array([least]))[0])}):
+            m, most = self.count(number)
             part = (tokens >> np.uint64(20)) % np.uint64(m)
             part = part.astype(np.int64)
             order = np.argsort(part, kind="stable")
@@ -80,26 +80,53 @@ class Parts:
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(tokens[order]))])
             salt = np.uint64((number * 1_000_003 + 17) & 0xFFFFFFFF) * np.uint64(arrays.MIX_2 & 0xFFFFFFFF)
             key = arrays.mix((sums[bounds[1:]] - sums[bounds[:-1]]) ^ (np.arange(m, dtype=np.uint64) * np.uint64(arrays.WORD_BASE) + salt))
-            strong = filled >= strength
-            out.append(key if (~strong).sum() > spare else key[strong])
+            # In its own class the set may be the smaller one, in a lower class it is the larger one.
+            k = self.differing(size + (size * self.den // self.num if number == own else min(size, most)))
+            strength = np.lexsort((key, filled, np.bincount(part[rare], minlength=m)))
+            out.append(key[strength[-(k + 1) :]])
         return np.concatenate(out)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+def _of_sample(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Tokens of the documents of each batch; copies in it count once."""
+    for batch in batches:
+        for piece in arrays.slices(batch, "text"):
+            rows, tokens = arrays.shingles(arrays.words_of(piece.column("text"), lower=True), n)
+            bounds = np.searchsorted(rows, np.arange(piece.num_rows + 1))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(tokens))])
+            _, first = np.unique(total[bounds[1:]] - total[bounds[:-1]], return_index=True)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[np.isin(rows, first)].view(np.int64))], names=["token"])
+
+
+def common_tokens(docs: DataFrame, n: int) -> bytes:
+    """A bit for each hash of a token that is common in a sample of the documents."""
+    share = min(1.0, SAMPLE / max(docs.count(), 1))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", "text", F.lit("sample")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+    found = sample.mapInArrow(partial(_of_sample, n=n), "token long").groupBy("token").count().where(f"count >= {COMMON}")
+    place = found.selectExpr(f"shiftrightunsigned(token, {64 - COMMON_BITS}) as place").distinct().toArrow()["place"].to_numpy()
+    bits = np.zeros(1 << COMMON_BITS, bool)
+    bits[place.astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, common) -> Iterator[pa.RecordBatch]:
     parts = Parts(num, den)
+    bits = np.frombuffer(common.value, np.uint8)
     for batch in batches:
         for piece in arrays.slices(batch, "text"):
             rows, tokens = arrays.shingles(arrays.words_of(piece.column("text"), lower=True), n)
             bounds = np.searchsorted(rows, np.arange(piece.num_rows + 1))
             mixed = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(arrays.mix(tokens ^ np.uint64(salt)))]) for salt in (arrays.MIX_1, arrays.WORD_BASE)]
             d1, d2 = (m[bounds[1:]] - m[bounds[:-1]] for m in mixed)
+            place = tokens >> np.uint64(64 - COMMON_BITS)
+            rare = (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 0
             ids = piece.column("doc_id")
             known = np.array(ids.is_valid())
             keys, ends = [], [0]
             for i in range(piece.num_rows):
                 own = tokens[bounds[i] : bounds[i + 1]]
                 if known[i] and len(own) >= parts.first:
-                    keys.append(parts.keys(own))
+                    keys.append(parts.keys(own, rare[bounds[i] : bounds[i + 1]]))
                     ends.append(ends[-1] + len(keys[-1]))
                 else:
                     ends.append(ends[-1])
@@ -165,7 +192,9 @@ def _compared(blocks: DataFrame, num: int, den: int) -> DataFrame:
 def similar_documents(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, n_shingles, component_id`` of every row of ``docs`` (``doc_id`` long, ``text`` string)."""
     docs = docs.select("doc_id", "text")
-    sets = written(docs.mapInArrow(partial(_sets, n=n, num=num, den=den), SETS), "jaccard-sets")
+    common = docs.sparkSession.sparkContext.broadcast(common_tokens(docs, n))
+    sets = written(docs.mapInArrow(partial(_sets, n=n, num=num, den=den, common=common), SETS), "jaccard-sets")
+    common.destroy()
     known = sets.where("doc_id is not null and n_shingles > 0")
     kinds = known.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     of_key = "key long, doc_id long, link long"
@@ -216,7 +245,7 @@ def _between_blocks(wide: DataFrame, found: DataFrame, num: int, den: int, block
     return _compared(blocks.select("block", "doc_id", "label", "visitor", "tokens"), num, den)
 
 
-def one_of_each(docs: DataFrame, n: int = 5, num: int = 85, den: int = 100) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows of ``docs``, all columns: of each group of linked documents the one of least ``doc_id`` stays.
 
     Of rows that share its ``doc_id`` the one of least text stays; rows with a null ``doc_id`` all stay.

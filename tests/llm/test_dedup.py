@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from newsdesk.llm import ngram_jaccard, substring_dedup, suffix_dedup
 from newsdesk.llm.graph import components
 from newsdesk.llm.suffix_array import repeats, suffix_array
@@ -74,6 +75,32 @@ def test_a_large_family_of_near_copies_is_one_component(spark):
         assert counted(ngram_jaccard.similar_documents(docs, 3, 90, 100, size).collect()) == jaccard_expected(rows, 3, 90, 100)
 
 
+def test_the_pipeline_links_near_copies_at_eighty(spark):
+    """Of 100 shingles each, 90 in common (0.818); the third pair has 88 in common (0.786)."""
+    base = [[f"p{p}w{i}" for i in range(104)] for p in range(3)]
+    rows = []
+    for p, n in enumerate((10, 10, 12)):
+        rows += [(2 * p, " ".join(base[p])), (2 * p + 1, " ".join(base[p][:-n] + [f"own{p}n{i}" for i in range(n)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for out in (corpus_pipeline.one_of_near_copies(spark, docs, ""), ngram_jaccard.one_of_each(docs)):
+        assert sorted(r["doc_id"] for r in out.collect()) == [0, 2, 4, 5]
+
+
+def test_common_passages_do_not_make_candidates(spark, monkeypatch):
+    """Half of each document is a passage that all share; keys of two documents are equal only for near copies."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(40 + i % 60)] + passage)) for i in range(300)]
+    rows += [(1000 + i, t + " more") for i, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, whole = [], ngram_jaccard.components
+    monkeypatch.setattr(ngram_jaccard, "components", lambda edges: seen.append(whole(edges)) or seen[-1])
+    found = ngram_jaccard.similar_documents(docs, 5, 80, 100)
+    assert counted(found.collect()) == jaccard_expected(rows, 5, 80, 100)
+    assert max(r["count"] for r in seen[0].groupBy("component").count().collect()) < 10
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001)], "a long, b long")
     found = {r["node"]: r["component"] for r in components(edges).collect()}
