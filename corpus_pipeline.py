@@ -32,9 +32,9 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def no_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents less every string of 400 bytes that starts elsewhere too."""
+    """Documents less every string of 250 bytes, and every passage of over 50 words, that starts elsewhere too."""
     ship_package(spark)
-    return cleaned(docs)
+    return cleaned(docs, length=250, words=51)
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

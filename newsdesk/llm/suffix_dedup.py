@@ -8,6 +8,9 @@ made by induced sorting, finds the windows that start more than once (``suffix_a
 equal within a batch go on once. Of an anchor that more than ``HOT`` stretches share, the windows are grouped by hash over
 all tasks instead, so that no shard grows with a very frequent passage.
 
+With ``words``, passages of so many words that have fewer than ``length`` bytes are anchors of their own: those that
+occur twice are repeats, so that no passage of that many words is too short in bytes.
+
 Documents with a copy are covered whole; of each group of copies one stands for all.
 
 Results for odd input: a null or empty text has no bytes; rows with a null ``doc_id`` come back with nothing
@@ -59,6 +62,16 @@ def anchors(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return rows[first], start[first], least[first]
 
 
+def passages(raw: np.ndarray, off: np.ndarray, length: int, words: int) -> tuple[np.ndarray, ...]:
+    """Row, start, end and anchor of runs of so many words that have fewer than ``length`` bytes."""
+    of = arrays.Words(raw, off, False)
+    at = np.flatnonzero(np.arange(len(of)) <= of.bounds[1:][of.row] - words)
+    start, ends = of.start[at], of.end[at + words - 1]
+    few = ends - start < length
+    rows, start, ends = of.row[at][few], start[few], ends[few]
+    return rows, start, ends, arrays.mix(arrays.range_hash(arrays.prefix_hash(raw, arrays.BYTE_POWERS), start, ends, arrays.BYTE_POWERS))
+
+
 def _stretches(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     rows, start, anchor = anchors(raw, off, length)
     ends = np.append(start[1:], 0) + length - 1
@@ -70,13 +83,16 @@ def _stretches(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarra
 PROFILE = "doc_id long, n_bytes long, whole binary, anchors array<long>"
 
 
-def _profile(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in arrays.slices(batch, "text"):
             raw, off = arrays.byte_view(piece.column("text"))
             view = memoryview(np.ascontiguousarray(raw))
             whole = [hashlib.sha256(view[a:b]).digest() for a, b in zip(off, off[1:], strict=False)]
             rows, _, anchor = anchors(raw, off, length)
+            if words:
+                few, _, _, more = passages(raw, off, length, words)
+                rows, anchor = np.concatenate([rows, few]), np.concatenate([anchor, more])
             order = np.lexsort((anchor, rows))
             rows, anchor = rows[order], anchor[order]
             # An anchor that stands twice in a document is told by standing here twice; more is not needed.
@@ -93,12 +109,14 @@ def _profile(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 STRETCHES = "doc_id long, start long, anchor long, hot boolean, stretch binary"
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator[pa.RecordBatch]:
     """Stretches of repeated anchors; of equal ones in a batch one, the others as already repeated (no bytes)."""
     for batch in batches:
         for piece in arrays.slices(batch, "text"):
             raw, off = arrays.byte_view(piece.column("text"))
             rows, start, ends, anchor = _stretches(raw, off, length)
+            if words:
+                rows, start, ends, anchor = map(np.concatenate, zip((rows, start, ends, anchor), passages(raw, off, length, words), strict=True))
             listed = piece.column("anchors")
             flat = listed.flatten()
             of_row = np.repeat(np.arange(piece.num_rows), np.diff(listed.offsets.to_numpy()))
@@ -116,12 +134,15 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             _, first, place, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
             one = np.zeros(len(rows), bool)
             one[first] = True
+            # The anchor of a short passage is the whole of it, and occurs elsewhere.
+            short = ends - start < length
+            one &= ~short
             data = raw.tobytes()
             cut = [data[a:b] if o else None for a, b, o in zip(start.tolist(), ends.tolist(), one.tolist(), strict=True)]
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)[rows]
             low = start - off[rows]
             names = STRETCH_NAMES
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low), pa.array(ends - start), pa.array(anchor.view(np.int64)), pa.array(hot), pa.array(times[place] > 1), pa.array(cut, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low), pa.array(ends - start), pa.array(anchor.view(np.int64)), pa.array(hot), pa.array((times[place] > 1) | short), pa.array(cut, pa.binary())], names=names)
 
 
 STRETCH = "doc_id long, start long, size long, anchor long, hot boolean, known boolean, stretch binary"
@@ -181,15 +202,15 @@ def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordB
         )
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, texts: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, texts: bool = False, words: int = 0) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row of ``docs`` (``doc_id`` long, ``text`` string).
 
-    With ``texts`` also ``whole``, the SHA-256 of the text, and ``kept_text``, null where nothing was removed; a
+    With ``words`` also passages of so many words are repeats, whatever their bytes. With ``texts`` also ``whole``, the SHA-256 of the text, and ``kept_text``, null where nothing was removed; a
     character cut in two is dropped from it.
     """
     docs = docs.select("doc_id", "text")
-    profile = written(docs.mapInArrow(partial(_profile, length=length), PROFILE), "suffixes-profile")
-    long = profile.where(f"doc_id is not null and n_bytes >= {length}")
+    profile = written(docs.mapInArrow(partial(_profile, length=length, words=words), PROFILE), "suffixes-profile")
+    long = profile.where("doc_id is not null and size(anchors) > 0")
     groups = long.groupBy("whole").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied"))
     reps = groups.groupBy("rep").agg(F.min(F.struct("whole", "copied")).alias("kind")).select("rep", "kind.whole", "kind.copied")
 
@@ -202,7 +223,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, texts
     texts_of = docs.join(wanted, "doc_id").where("unhex(sha2(text, 256)) = whole").dropDuplicates(["doc_id"])
     texts_of = written(texts_of.select("doc_id", "text", "anchors"), "suffixes-texts")
 
-    stretches = written(texts_of.mapInArrow(partial(_cut, length=length), STRETCH), "suffixes-stretches")
+    stretches = written(texts_of.mapInArrow(partial(_cut, length=length, words=words), STRETCH), "suffixes-stretches")
     weight = stretches.where("stretch is not null and not hot").agg(F.sum("size")).first()[0] or 0
     shards = weight // SHARD_BYTES + 1
     dealt = stretches.where("stretch is not null and not hot").select("doc_id", "start", F.pmod(F.xxhash64("anchor"), F.lit(shards)).alias("shard"), "stretch")
@@ -232,10 +253,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, texts
     )
 
 
-def cleaned(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = LENGTH, words: int = 0) -> DataFrame:
     """``docs``, all rows and columns, with ``text`` less its repeated strings; ``n_chars``, if there, follows it."""
     name = f"kept_{uuid.uuid4().hex}"
-    changed = without_repeats(docs, length, texts=True).where("kept_text is not null")
+    changed = without_repeats(docs, length, texts=True, words=words).where("kept_text is not null")
     changed = changed.selectExpr("doc_id as of", "whole", f"kept_text as {name}").dropDuplicates(["of", "whole"])
     same = (docs["doc_id"] == changed["of"]) & (F.unhex(F.sha2(docs["text"], 256)) == changed["whole"])
     text = F.coalesce(changed[name], docs["text"])

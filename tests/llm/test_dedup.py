@@ -175,6 +175,21 @@ def test_cleaned_keeps_rows_and_columns(odd):
     assert out.where("doc_id is null and length(text) > 100").count() == 1
 
 
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_the_pipeline_takes_repeated_passages_of_51_words(spark, size):
+    """Of 101, 203 and 305 bytes; one of 35 words and fewer than 250 bytes stays."""
+    rng = random.Random(size)
+    words = lambda n, k: " ".join("".join(rng.choice("abcdefghij") for _ in range(k)) for _ in range(n))
+    passage, short = words(51, size), words(35, 5)
+    own = [[words(40, 7) for _ in range(2)] for _ in range(4)]
+    docs = spark.createDataFrame([(i, f"{a} Q {passage} Z {b}" if i < 2 else f"{a} Q {short} Z {b}") for i, (a, b) in enumerate(own)] + [(9, passage)], "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.no_repeated_strings(spark, docs, "").collect()}
+    for i, (a, b) in enumerate(own):
+        assert out[i].startswith(a) and out[i].endswith(b)
+        assert (short in out[i]) == (i >= 2) and (i >= 2 or len(out[i]) <= len(a + b) + 6)
+    assert out[9] == ""
+
+
 def test_one_of_each_group_stays(odd):
     out = ngram_jaccard.one_of_each(odd)
     ids = sorted(r["doc_id"] for r in out.where("doc_id is not null").collect())
