@@ -11,7 +11,7 @@ import regex
 from newsdesk.llm import arrays
 
 MOST_WORDS, MOST_CUTS = 2_000_000, 600_000
-"""Entries kept by one Python worker (about 200 MB); a store is emptied beyond."""
+"""Entries kept by one Python worker (about 200 MB); a store is emptied beyond. The words of one run of texts always fit."""
 
 # The tokenizer's own rule for cutting words (and the blank that parts them here), and what may not
 # be cut ahead of it: characters that its normal form changes by more than lower case, and special tokens.
@@ -102,8 +102,6 @@ class WordTokens:
         return ids, np.diff(ends, prepend=0)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > MOST_WORDS:
-            self.keys, self.places, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), Arena()
         first = self.words.add(*self._encoded(words))
         at = np.searchsorted(self.keys, keys)
         self.keys, self.places = np.insert(self.keys, at, keys), np.insert(self.places, at, np.arange(first, first + len(keys)))
@@ -121,18 +119,15 @@ class WordTokens:
         if not known.all():
             new, first = np.unique(keys[~known], return_index=True)
             first = np.flatnonzero(~known)[first]
+            if len(self.keys) + len(new) > MOST_WORDS:
+                self.keys, self.places, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), Arena()
+                new, first = np.unique(keys, return_index=True)
             raw = words.raw.tobytes()
             spans = zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)
-            emptied = len(self.keys) + len(new) > MOST_WORDS
             self._learn(new, [raw[a:b].decode("utf-8", "replace") for a, b in spans])
-            if emptied:
-                rest, first = np.unique(keys, return_index=True)
-                _, there = self._find(rest)
-                first = first[~there]
-                if len(first):
-                    spans = zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)
-                    self._learn(rest[~there], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
-            at, _ = self._find(keys)
+            at, known = self._find(keys)
+            if not known.all():
+                raise ValueError("a word is missing from the store")
         if not len(keys):
             return np.zeros(0, np.uint32), np.zeros(len(text) + 1, np.int64)
         ids, bounds = self.words.take(self.places[at])

@@ -92,6 +92,15 @@ def test_token_counts_of_flat_files(spark, odd, tmp_path, block, group):
     assert sorted((r["file"][-1], r["document"], r["start"], r["n_tokens"]) for r in found.collect()) == expected
 
 
+def test_a_text_of_more_words_than_the_store_takes(monkeypatch):
+    """Some of its words were known before the store is emptied for it."""
+    texts = ["one two three", "two one seven four five six three eight"]
+    expected = [per_row(*word_tokens.WordTokens(WORDS).encode(pa.array([t]))) for t in texts]
+    monkeypatch.setattr(word_tokens, "MOST_WORDS", 5)
+    small = word_tokens.WordTokens(WORDS)
+    assert [per_row(*small.encode(pa.array([t]))) for t in texts + texts[:1]] == expected + expected[:1]
+
+
 def test_pieces_are_packed_whole(odd, nothing):
     library = Tokenizer.from_file(public_tokenizers.path(WORDS))
     rows = packing.packed(odd, WORDS, capacity=64).toPandas()
