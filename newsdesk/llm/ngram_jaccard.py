@@ -70,7 +70,7 @@ class Parts:
         least = -(-size * self.num // self.den)
         own = int(self.class_of(np.array([size]))[0])
         out = []
-        for number in sorted({own, int(self.class_of(np.array([least]))[0])}):
+        for number in range(int(self.class_of(np.array([least]))[0]), own + 1):
             m, most = self.count(number)
             part = (tokens >> np.uint64(20)) % np.uint64(m)
             part = part.astype(np.int64)

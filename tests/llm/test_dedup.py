@@ -101,6 +101,14 @@ def test_common_passages_do_not_make_candidates(spark, monkeypatch):
     assert max(r["count"] for r in seen[0].groupBy("component").count().collect()) < 10
 
 
+def test_low_thresholds_reach_every_class_of_sizes(spark):
+    """60 of 100 shingles: the classes between those of the set's own size and of its least partner count too."""
+    words = [f"w{i}" for i in range(102)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:62]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert counted(ngram_jaccard.similar_documents(docs, 3, 50, 100).collect()) == jaccard_expected(rows, 3, 50, 100) == counted([(1, 100, 1), (2, 60, 1)])
+
+
 def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000, 1001), (1001, 1001)], "a long, b long")
     found = {r["node"]: r["component"] for r in components(edges).collect()}
