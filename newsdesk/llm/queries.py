@@ -10,6 +10,7 @@ from newsdesk.llm import cover_search
 from newsdesk.llm.fingerprints import op8_fingerprints
 from newsdesk.llm.ngram_jaccard import op3_ngram_jaccard
 from newsdesk.llm.packing import op6_best_fit_packing
+from newsdesk.llm.periodic_runs import op11_periodic_runs
 from newsdesk.llm.pieces import op1_sentencepiece
 from newsdesk.llm.quality import op10_quality
 from newsdesk.llm.substring_dedup import op5_substring_dedup
@@ -28,6 +29,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_fingerprints": op8_fingerprints,
     "op9_cover_search": cover_search.op9_cover_search,
     "op10_quality": op10_quality,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 LLM_ORACLE: dict[str, str] = {"op9_cover_search": cover_search.ORACLE}
