@@ -1,4 +1,4 @@
-"""Title normalisation, percent-encoding and n-grams as Column expressions."""
+"""Title normalisation and percent-encoding as Column expressions."""
 
 from __future__ import annotations
 
@@ -54,24 +54,3 @@ def percent_encode(text: Column) -> Column:
     for written, wanted in (("+", "%20"), ("%7E", "~"), ("*", "%2A")):
         form = F.replace(form, F.lit(written), F.lit(wanted))
     return form
-
-
-def tokens(text: Column) -> Column:
-    """Words of an already normalised text."""
-    return F.filter(F.split(text, " "), lambda word: word != "")
-
-
-def grams(words_column: str, longest: int) -> Column:
-    """Distinct runs of 1..``longest`` consecutive words of an array column."""
-    single = F.col(words_column)
-    runs = [single]
-    for n in range(2, longest + 1):
-        shorter, count = runs[-1], F.greatest(F.lit(0), F.size(single) - (n - 1))
-        runs.append(
-            F.zip_with(
-                F.slice(shorter, F.lit(1), count),
-                F.slice(single, F.lit(n), count),
-                lambda run, word: F.concat(run, F.lit(" "), word),
-            )
-        )
-    return F.array_distinct(F.concat(*runs))

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,7 +13,8 @@ from pyspark.sql import types as T
 
 from newsdesk.functions import replies as R
 from newsdesk.functions.barrier import computed_once
-from newsdesk.functions.text import fingerprint, grams, tokens, unicode_trim
+from newsdesk.functions.terms import longest_terms, texts, with_beginnings
+from newsdesk.functions.text import fingerprint, unicode_trim
 from newsdesk.operators.decode import with_reply
 from newsdesk.sources.catalogue import BANDS
 
@@ -116,28 +119,27 @@ def cleared(reads: DataFrame, min_severity: int) -> DataFrame:
     return reads.where(is_cleared(min_severity))
 
 
-def _with_grams(items: DataFrame, terms: Mapping[str, Sequence[str]]) -> DataFrame:
-    longest = max(len(t.split(" ")) for group in terms.values() for t in group)
-    split = computed_once(items, {"_words": tokens(fingerprint(F.col("title")))})
-    return computed_once(split, {"_grams": grams("_words", longest)}).drop("_words")
+def _with_terms(items: DataFrame, terms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Add ``_terms``: the terms of any group that a title's normalised words hold, found in one pass."""
+    every = [t for group in terms.values() for t in group]
+    found = computed_once(items, {"_longest": longest_terms(fingerprint(F.col("title")), every)})
+    return computed_once(found, {"_terms": with_beginnings(F.col("_longest"), every)}).drop("_longest")
 
 
-def _terms(terms: Sequence[str]) -> Column:
-    return F.array(*[F.lit(t) for t in terms]).cast("array<string>")
+def _of_group(terms: Sequence[str]) -> Column:
+    """The terms of a group among those found; most titles have none."""
+    return F.when(F.size("_terms") > 0, F.array_intersect("_terms", texts(terms))).otherwise(texts(()))
 
 
 def lexicon_reads(items: DataFrame, lexicon: Mapping[str, Sequence[str]]) -> DataFrame:
     """Deterministic reads from term lists per band, computed row by row in the JVM.
 
     The band with most distinct matched terms wins, earlier bands on ties; no match is
-    ``drop``. Terms are normalised words; an item's word runs are intersected with them,
-    so no join or shuffle is needed.
+    ``drop``. Terms are normalised words; a title is gone through once for all of them, and no join or
+    shuffle is needed.
     """
-    counted = _with_grams(items, lexicon).withColumns(
-        {
-            f"_hits_{band}": F.size(F.array_intersect("_grams", _terms(lexicon.get(band, ()))))
-            for band in BANDS
-        }
+    counted = _with_terms(items, lexicon).withColumns(
+        {f"_hits_{band}": F.size(_of_group(lexicon.get(band, ()))) for band in BANDS}
     )
     most = F.greatest(*[F.col(f"_hits_{band}") for band in BANDS])
     category = F.lit("drop")
@@ -154,22 +156,34 @@ def lexicon_reads(items: DataFrame, lexicon: Mapping[str, Sequence[str]]) -> Dat
     )
 
 
-def swept(items: DataFrame, sweeps: Mapping[str, Sequence[str]]) -> DataFrame:
+def swept(
+    items: DataFrame, sweeps: Mapping[str, Sequence[str]], clock: str | None = None, horizons: Mapping[str, str] | None = None
+) -> DataFrame:
     """One row per item and sweep with at least one matching term.
 
-    Only matched sweeps are expanded, so the output is the largest table involved.
+    Only matched sweeps are expanded, so the output is the largest table involved. With a ``clock``
+    column, a sweep that has a horizon (an interval such as ``1 DAY``) takes only items that are nearer
+    than it to the newest one.
     """
+    dated, fresh = items, {}
+    if clock and horizons:
+        newest = items.agg(F.max(clock)).scalar()
+        if all(sweep in horizons for sweep in sweeps):
+            # Before the terms are looked for, and down to the scan.
+            dated = items.where(reduce(or_, [F.col(clock) > newest - F.expr(f"INTERVAL {h}") for h in sorted(set(horizons.values()))]))
+        dated = dated.withColumn("_newest", newest)
+        fresh = {sweep: F.col(clock) > F.col("_newest") - F.expr(f"INTERVAL {h}") for sweep, h in horizons.items()}
     hits = F.array(
         *[
             F.struct(
                 F.lit(sweep).alias("sweep"),
-                F.array_sort(F.array_intersect("_grams", _terms(terms))).alias("terms"),
+                F.when(fresh.get(sweep, F.lit(True)), F.array_sort(_of_group(terms))).otherwise(texts(())).alias("terms"),
             )
             for sweep, terms in sweeps.items()
         ]
     )
     matched = {"_hits": F.filter(hits, lambda h: F.size(h["terms"]) > 0)}
-    return computed_once(_with_grams(items, sweeps), matched).select(
+    return computed_once(_with_terms(dated, sweeps), matched).select(
         *items.columns, F.inline("_hits")
     )
 

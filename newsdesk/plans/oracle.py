@@ -77,6 +77,25 @@ for written, meant in (
 ):
     title_html = f"replace({title_html}, {text(written)}, {text(meant)})"
 
+# What each sweep of the catalogue looks for, normalised, in the catalogue's order.
+SWEPT = (
+    ("Fed/Policy", "federal reserve|fomc|powell|interest rate|rate decision"),
+    ("Inflation/Data", "cpi|inflation|jobs report|payrolls|gdp|pce"),
+    ("Equities", "stock market|s p 500|nasdaq|dow jones|earnings"),
+    ("Rates", "treasury yields|bond market|10 year yield|yield curve"),
+    ("FX/Dollar", "us dollar|dollar index|dxy|forex"),
+    ("Oil/Energy", "oil prices|crude|opec|natural gas|brent|wti"),
+    ("Gold", "gold price|bullion|precious metals"),
+    ("Crypto", "bitcoin|ethereum|crypto|digital assets"),
+    ("Politics", "election|president|parliament|government|vote|senate|congress"),
+    ("Policy/Trade", "policy|legislation|supreme court|diplomacy|summit|tariffs|sanctions"),
+    ("Conflict", "war|airstrike|ceasefire|military|offensive|invasion|troops"),
+    ("Disaster", "earthquake|flood|wildfire|hurricane|explosion|disaster|evacuation"),
+    ("Unrest", "protest|unrest|riot|coup|state of emergency|crackdown"),
+    ("AI/Chips", "artificial intelligence|openai|large language model|nvidia|semiconductors|chips"),
+    ("Big Tech", "apple|google|microsoft|meta|amazon|tesla|big tech"),
+)
+
 VIEWS = {
     "items": """
         SELECT CAST(substr(source, 4) AS INTEGER) AS feed_ord, doc_id * 16777216 + line_no AS entry_ord,
@@ -343,6 +362,15 @@ ORACLE = {
     "sweep_recent": """
         SELECT event_id, event_type FROM events
         WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY""",
+    "catalogue_sweeps": f"""
+        WITH asked AS (SELECT sweep, sweep_at, unnest(string_split(terms, '|')) AS term,
+                              generate_subscripts(string_split(terms, '|'), 1) AS place
+                       FROM {values([(sweep, terms, at) for at, (sweep, terms) in enumerate(SWEPT)])} t(sweep, terms, sweep_at)),
+        numbered AS (SELECT *, row_number() OVER (ORDER BY sweep_at, place) - 1 AS turn, count(*) OVER () AS n FROM asked),
+        fresh AS (SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND event_id % 3 > 0),
+        titles AS (SELECT event_id, ' ' || term || ' ' AS title FROM fresh JOIN numbered ON turn = event_id % n)
+        SELECT event_id, sweep, string_agg(term, '|' ORDER BY term) AS terms
+        FROM titles JOIN asked ON contains(title, ' ' || term || ' ') GROUP BY event_id, sweep""",
     "reader_prompts": query(
         ("items",),
         f"""SELECT doc_id, line_no,

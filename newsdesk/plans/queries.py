@@ -178,6 +178,12 @@ def sweep_recent(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def catalogue_sweeps(spark: SparkSession, folder: str) -> DataFrame:
+    """All sweeps of the catalogue over headlines, each as far back as its query says."""
+    hits = reads.swept(V.event_headlines(spark, folder), catalogue.sweeps(spark), "ts", catalogue.horizons())
+    return hits.select("event_id", "sweep", F.array_join("terms", "|").alias("terms"))
+
+
 def reader_prompts(spark: SparkSession, folder: str) -> DataFrame:
     return V.document_items(spark, folder).select(
         *V.line_columns(), F.md5(reads.prompt()).alias("prompt_md5")
@@ -431,7 +437,7 @@ QUERIES = {
         tuning_view, tuning_clamp, nonblank_items, gathered_items, fingerprint_docs,
         fingerprint_pages, batch_dedupe, seed_ledger, ledger_upsert, ledger_capped,
         ledger_after_poll, unseen_items, suppressed_items, first_sightings, topic_sweep,
-        sweep_recent, reader_prompts, reader_replies, lexicon_reads, decode_envelope,
+        sweep_recent, catalogue_sweeps, reader_prompts, reader_replies, lexicon_reads, decode_envelope,
         decode_replies, failed_reads, coerce_category, coerce_severity, coerce_confidence,
         cleared_reads, severity_meter, skin_cards, route_cards, cards, cards_by_channel,
         queue_ranked, drip_top, drip_schedule, drip_dry, drip_outcomes, queue_replay,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,6 +125,19 @@ def sweeps(spark: SparkSession) -> dict[str, tuple[str, ...]]:
     return _terms_by(spark, "sweep")
 
 
+def alternatives() -> list[str]:
+    """What the sweeps look for, as written, in order."""
+    queries = [re.sub(r"\s+when:\S+$", "", place) for kind, _, _, place in CATALOGUE if kind == SWEEP]
+    return [alternative.strip('"') for query in queries for alternative in re.split(r"\s+OR\s+", query)]
+
+
+def horizons() -> dict[str, str]:
+    """How far back each sweep looks, from the ``when:`` of its query."""
+    units = {"h": "HOUR", "d": "DAY"}
+    asked = {source: re.search(r"when:(\d+)([hd])\b", query) for kind, source, _, query in CATALOGUE if kind == SWEEP}
+    return {source: f"{found[1]} {units[found[2]]}" for source, found in asked.items() if found}
+
+
 def lexicon(spark: SparkSession) -> dict[str, tuple[str, ...]]:
     """Normalised terms of every band: those of its sweeps."""
     return _terms_by(spark, "hint")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from newsdesk.functions import cards as C
 from newsdesk.functions import replies as R
-from newsdesk.functions.text import fingerprint, grams, percent_encode, tokens
+from newsdesk.functions.terms import longest_terms, with_beginnings
+from newsdesk.functions.text import fingerprint, percent_encode
 from newsdesk.operators.decode import with_reply, with_response
 from newsdesk.operators.reads import decoded_reads
 
@@ -82,15 +83,27 @@ def test_percent_encoding(spark):
     assert [r.e for r in rows] == [p[1] for p in pairs]
 
 
-def test_grams(spark):
-    def runs(text, longest):
-        words = column(spark, [text]).select(tokens(F.col("v")).alias("w"))
-        return words.select(grams("w", longest).alias("g")).head().g
+def found_terms(spark, texts, terms):
+    longest = column(spark, texts).withColumn("l", longest_terms(F.col("v"), terms))
+    return [sorted(r.t) for r in longest.select(with_beginnings(F.col("l"), terms).alias("t")).collect()]
 
-    assert runs("a b c", 3) == ["a", "b", "c", "a b", "b c", "a b c"]
-    assert runs("a", 3) == ["a"]
-    assert runs("", 3) == []
-    assert runs("a a a", 2) == ["a", "a a"]
+
+def test_terms_of_one_pass(spark):
+    terms = ["of", "of the", "the people", "people", "a.b", "une", "une fois", "fois de"]
+    texts = ["of the people", "often", "axb a.b", "of", "", "une fois de plus", "of the of", "the  people"]
+    wanted = [["of", "of the", "people", "the people"], [], ["a.b"], ["of"], [], ["fois de", "une", "une fois"], ["of", "of the"], ["people"]]
+    assert found_terms(spark, texts, terms) == wanted
+    assert found_terms(spark, ["of the"], []) == [[]]
+
+
+def test_terms_equal_a_search_for_each(spark):
+    rng = random.Random(5)
+    words = ["a", "ab", "abc", "b", "ba", "c", "é", "x9"]
+    for size in (1, 7, 60):
+        terms = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(size)]
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 25))) for _ in range(150)]
+        wanted = [sorted({t for t in terms if f" {t} " in f" {text} "}) for text in texts]
+        assert found_terms(spark, texts, terms) == wanted
 
 
 SEVERITIES = [
