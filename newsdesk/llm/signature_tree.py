@@ -72,21 +72,50 @@ def linked(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     return both > 0 and den * both >= num * (len(x) + len(y) - both)
 
 
+class Joined:
+    """Which nodes of a tree have all their members in one component; components only grow, so what is found stays."""
+
+    def __init__(self, tree: SignatureTree, forest: Forest):
+        self.tree, self.forest = tree, forest
+        self.one = [None, *(np.zeros(len(x[0]), bool) for x in tree.levels[1:])]
+
+    def root(self, level: int, node: int) -> int | None:
+        """The component of all members of a node, if there is one such."""
+        if not level:
+            return self.forest.root(int(self.tree.places[node]))
+        below = self.tree.children(level, node)
+        first = self.root(level - 1, below.start)
+        if first is None or self.one[level][node]:
+            return first
+        if all(self.root(level - 1, i) == first for i in below):
+            self.one[level][node] = True
+            return first
+        return None
+
+
 def links(a: SignatureTree, b: SignatureTree, forest: Forest, num: int, den: int) -> Iterator[tuple[int, int]]:
     """Links between members of two trees, or within one, that join what was not joined before.
 
-    Node pairs are opened from the top while their largest possible overlap allows a link and their
-    members are not all in one component; what survives is compared token by token.
+    Node pairs are opened from the top, near ones first, while their largest possible overlap allows a link and
+    their members are not all in one component; what survives is compared token by token.
     """
     same = a is b
+    of_a = Joined(a, forest)
+    of_b = of_a if same else Joined(b, forest)
     levels = len(a.levels) - 1, len(b.levels) - 1
     stack = [(levels[0], 0, levels[1], 0)]
     while stack:
         la, na, lb, nb = stack.pop()
+        joined = of_a.root(la, na)
+        if joined is not None and joined == of_b.root(lb, nb):
+            continue
         if la == 1 and lb == 1:
             i, j = a.children(1, na), b.children(1, nb)
+            apart = np.array([forest.root(int(u)) for u in a.places[i.start : i.stop]])[:, None] != np.array([forest.root(int(v)) for v in b.places[j.start : j.stop]])
+            if not apart.any():
+                continue
             may = possible(a.levels[0], slice(i.start, i.stop), b.levels[0], slice(j.start, j.stop), num, den)
-            for p, q in np.argwhere(may):
+            for p, q in np.argwhere(may & apart):
                 p, q = p + i.start, q + j.start
                 u, v = int(a.places[p]), int(b.places[q])
                 if (same and p >= q) or u == v or forest.root(u) == forest.root(v):
