@@ -10,8 +10,8 @@ so no repeat is lost; when it is overfull, more windows are grouped and the resu
 
 Results for odd input: a null or empty text has no words; rows with a null ``doc_id`` come back with nothing
 removed and take no part; copies of one row get equal results; of rows that share a ``doc_id`` with different
-words the one of least digest is the document and the others come back unchanged; an empty table gives no
-rows; further columns are not read.
+words, enough for a window, the one of least digest is the document and the others come back unchanged; an empty
+table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -218,8 +218,9 @@ def without_repeats(docs: DataFrame, n: int = WINDOW, columns: int = COLUMNS) ->
     sketch = spark.sparkContext.broadcast(bytes(bits))
     del bits
 
-    kinds = profile.where(f"doc_id is not null and n_words >= {n}").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    reps = kinds.groupBy("rep").agg(F.min(F.struct("d1", "d2")).alias("kind")).select(F.col("rep").alias("doc_id"), "kind.d1", "kind.d2")
+    chosen = profile.where(f"doc_id is not null and n_words >= {n}").groupBy("doc_id").agg(F.min(F.struct("d1", "d2")).alias("kind"))
+    chosen = chosen.select("doc_id", "kind.d1", "kind.d2")
+    reps = chosen.groupBy("d1", "d2").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "d1", "d2")
     found = docs.mapInArrow(partial(_candidates, n=n, sketch=sketch), "doc_id long, d1 long, d2 long, text binary")
     same = (F.col("found.d1") == F.col("reps.d1")) & (F.col("found.d2") == F.col("reps.d2"))
     texts = found.alias("found").join(reps.alias("reps"), "doc_id").where(same).select("doc_id", "found.text")
@@ -241,7 +242,7 @@ def without_repeats(docs: DataFrame, n: int = WINDOW, columns: int = COLUMNS) ->
     rest = texts.join(starts, "doc_id").mapInArrow(partial(_kept, n=n), "rep long, removed long, rest binary")
 
     named = reps.join(rest, F.col("doc_id") == F.col("rep"), "left").select("d1", "d2", F.col("doc_id").alias("rep"), "removed", "rest")
-    out = profile.join(named, ["d1", "d2"], "left")
+    out = profile.join(chosen.join(named, ["d1", "d2"]), ["doc_id", "d1", "d2"], "left")
     return out.select(
         "doc_id", "n_words",
         F.expr("case when doc_id > rep then n_words when doc_id = rep then coalesce(removed, 0L) else 0L end").alias("n_removed"),

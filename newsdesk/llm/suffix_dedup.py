@@ -14,8 +14,8 @@ occur twice are repeats, so that no passage of that many words is too short in b
 Documents with a copy are covered whole; of each group of copies one stands for all.
 
 Results for odd input: a null or empty text has no bytes; rows with a null ``doc_id`` come back with nothing
-removed and take no part; repeated rows are one document; of rows that share a ``doc_id`` with different texts the
-one of least SHA-256 is the document and the others come back unchanged; an empty table gives no rows; further
+removed and take no part; repeated rows are one document; of rows that share a ``doc_id`` with different texts, long
+enough to hold a repeat, the one of least SHA-256 is the document and the others come back unchanged; an empty table gives no rows; further
 columns are not read. Equality of strings is equality of 64-bit hashes.
 """
 
@@ -211,8 +211,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, texts
     docs = docs.select("doc_id", "text")
     profile = written(docs.mapInArrow(partial(_profile, length=length, words=words), PROFILE), "suffixes-profile")
     long = profile.where("doc_id is not null and size(anchors) > 0")
-    groups = long.groupBy("whole").agg(F.min("doc_id").alias("rep"), (F.max("doc_id") > F.min("doc_id")).alias("copied"))
-    reps = groups.groupBy("rep").agg(F.min(F.struct("whole", "copied")).alias("kind")).select("rep", "kind.whole", "kind.copied")
+    chosen = long.groupBy("doc_id").agg(F.min("whole").alias("whole"))
+    reps = chosen.groupBy("whole").agg(F.min("doc_id").alias("rep"), (F.count("*") > 1).alias("copied"))
 
     mine = long.alias("long").join(reps.alias("reps"), F.col("doc_id") == F.col("rep")).where("long.whole = reps.whole")
     mine = mine.dropDuplicates(["doc_id"]).select("doc_id", F.explode("anchors").alias("anchor"))
@@ -239,7 +239,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT, texts
     rest = rest.mapInArrow(partial(_kept, texts=texts), "rep long, removed long, runs long, rest binary, kept_text string")
 
     named = reps.withColumnRenamed("rep", "of").join(rest, F.col("of") == F.col("rep"), "left").drop("rep")
-    out = profile.drop("anchors").join(named, "whole", "left")
+    out = profile.drop("anchors").join(chosen.join(named, "whole"), ["doc_id", "whole"], "left")
     taken = "(of is not null and copied)"
     columns = [
         F.expr(f"case when {taken} then n_bytes else coalesce(removed, 0L) end").alias("n_removed"),

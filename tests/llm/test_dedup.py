@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ import pytest
 import corpus_pipeline
 from newsdesk.llm import ngram_jaccard, substring_dedup, suffix_dedup
 from newsdesk.llm.graph import components
+from newsdesk.llm.signature_tree import Forest, SignatureTree, links
 from newsdesk.llm.suffix_array import repeats, suffix_array
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -164,6 +166,44 @@ def test_repeated_strings_go(odd, given, length, hot):
     assert counted(suffix_dedup.without_repeats(docs, length, hot).collect()) == strings_expected(rows, length)
 
 
+def clashing():
+    """Ids with several texts, one of which other documents hold too; and the choices of one text for id 5."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(90)) for x in "abc")
+    rows = [(5, a), (5, b), (7, b), (8, f"{b} tail"), (9, f"{a} tail"), (2, a), (2, a), (11, b), (11, c), (12, c), (12, "short")]
+    chosen = [dict(rows) | {5: x, 11: y, 12: c} for x in (a, b) for y in (b, c)]
+    return rows, chosen
+
+
+def of_choice(rows, chosen, expected):
+    """What the chosen rows give; the others come back whole."""
+    out = {i: k for i, *k in expected(list(chosen.items()))}
+    whole = {t: k[1:] for t in {t for _, t in rows} for k in expected([(0, t)])}
+    return counted((i, *(out[i] if chosen[i] == t else whole[t])) for i, t in rows)
+
+
+def test_an_id_with_several_texts_is_one_of_them(spark):
+    rows, chosen = clashing()
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = counted(suffix_dedup.without_repeats(docs, 100).collect())
+    assert found in [of_choice(rows, c, lambda x: strings_expected(x, 100)) for c in chosen]
+    found = counted(substring_dedup.without_repeats(docs, 20).collect())
+    assert found in [of_choice(rows, c, lambda x: windows_expected(x, 20)) for c in chosen]
+
+
+def test_a_large_component_is_not_compared_pair_by_pair():
+    """Node pairs within one component are not opened: near copies cost little more than a chain of them."""
+    rng = np.random.default_rng(1)
+    base, sets = rng.integers(0, 1 << 63, 116).astype(np.uint64), []
+    for _ in range(4000):
+        copy = base.copy()
+        copy[rng.integers(0, 116, 5)] = rng.integers(0, 1 << 63, 5).astype(np.uint64)
+        sets.append(np.unique(copy))
+    tree, forest = SignatureTree(sets, np.arange(4000), 1024), Forest(4000)
+    start = time.process_time()
+    assert len(list(links(tree, tree, forest, 80, 100))) == 3999
+    assert time.process_time() - start < 4
+
+
 def test_suffix_arrays_are_sorted():
     rng = random.Random(5)
     for _ in range(400):
