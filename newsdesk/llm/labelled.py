@@ -15,13 +15,18 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """``doc_id, label, text`` of labelled documents outside the held-out fold, at most ``most`` of either label.
 
-    Taken in the order of a hash of the id; a document with several labels has the greatest. The ids of the sample
-    are at most ``2 * most`` rows, so they may be broadcast.
+    Taken in the order of a hash of the id; a document with several labels has the greatest, one with several rows is the
+    one of least text. The ids of the sample are at most ``2 * most`` rows, so they may be broadcast.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).alias("label"))
     order = F.xxhash64("doc_id")
     sample = known.where("label = 1").orderBy(order).limit(most).union(known.where("label = 0").orderBy(order).limit(most))
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")
+    return one_of_each_id(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "doc_id", "label").select("doc_id", "label", "text")
+
+
+def one_of_each_id(rows: DataFrame, *keys: str) -> DataFrame:
+    """The row of least text of each key, combined before the shuffle: a key of very many rows is one row."""
+    return rows.groupBy(*keys).agg(F.min("text").alias("text"))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from newsdesk.llm import arrays
-from newsdesk.llm.labelled import Sparse, descend, held_out, sigmoid, training_rows
+from newsdesk.llm.labelled import Sparse, descend, held_out, one_of_each_id, sigmoid, training_rows
 from newsdesk.llm.storage import documents, table
 
 MOST = 20_000
@@ -175,9 +175,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     if len(p) < 10:
         return Model(np.zeros((0, 0)), np.zeros(0))
     share = docs.where(~held_out()).agg(F.count("*")).first()[0]
-    # A hash of the id draws about ``most`` rows; which ones does not depend on how the table is cut.
+    # A hash of the id draws about ``most`` rows at most, one of each id; which ones does not depend on how the table is cut.
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("web")), F.lit(1 << 30)) * F.lit(float(share)) < F.lit(float(most) * (1 << 30))
-    u = _matrix(docs.where(~held_out() & drawn))
+    u = _matrix(one_of_each_id(docs.where(~held_out() & drawn), "doc_id"))
     cuts = np.quantile(np.concatenate([p, u]), np.linspace(0, 1, BINS + 2)[1:-1], axis=0).T
     model = Model(cuts, np.zeros(0))
     size = WIDTH * (BINS + 1)
