@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +15,9 @@ from newsdesk.operators import dedupe, delivery, queue, reads, status
 from newsdesk.operators.decode import with_reply, with_response
 from newsdesk.operators.joins import with_band, with_channel, with_skin
 from newsdesk.plans import views as V
-from newsdesk.session import checkpoint_folder
+from newsdesk.session import staging_folder
 from newsdesk.sources import catalogue, items, params
-from newsdesk.sources.tables import LedgerTable
+from newsdesk.sources.ledger import LedgerTable
 
 CAP = 200
 TICK_CARDS = 25
@@ -59,7 +58,7 @@ def page_items(spark: SparkSession, folder: str) -> DataFrame:
 
 def ledger_scan(spark: SparkSession, folder: str) -> DataFrame:
     """A ledger written as a table and read back."""
-    ledger = LedgerTable(spark, f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4()}", cap=None)
+    ledger = LedgerTable(spark, staging_folder(spark, "ledger"))
     ledger.insert(dedupe.seeded(dedupe.gathered(V.all_items(spark, folder))), 0)
     return ledger.before(1)
 
@@ -140,9 +139,10 @@ def ledger_capped(spark: SparkSession, folder: str) -> DataFrame:
 
 def ledger_after_poll(spark: SparkSession, folder: str) -> DataFrame:
     """The web ledger after one poll of the documents, written down and read back."""
-    ledger = LedgerTable(spark, f"{checkpoint_folder(spark)}/ledger-{uuid.uuid4()}", cap=None)
+    ledger = LedgerTable(spark, staging_folder(spark, "ledger"))
     ledger.insert(web_ledger(spark, folder), 0)
-    fresh = dedupe.unseen(dedupe.gathered(V.document_items(spark, folder)), ledger.before(1))
+    batch = dedupe.gathered(V.document_items(spark, folder))
+    fresh = dedupe.unseen(batch, ledger.met(batch, 1))
     read = reads.lexicon_reads(fresh, V.LEXICON)
     ledger.insert(dedupe.seeded(read, poll_id=1), 1)
     return ledger.before(2)

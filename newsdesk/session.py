@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The same rows, partitions and order, read back from reliable storage."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder from any file system Spark reaches, if it is there."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def staging_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, for a table of this application alone; it goes when the application ends."""
+    path = f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path

@@ -7,11 +7,6 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from newsdesk.operators.dedupe import LEDGER_COLUMNS, capped
-
-LEDGER_SCHEMA = "fp STRING, poll_id BIGINT, feed_ord INT, entry_ord BIGINT"
 
 
 def one_row(spark: SparkSession, **values: Column) -> DataFrame:
@@ -25,7 +20,7 @@ class BatchTable:
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path, schema
 
-    def _scan(self, path: str, schema: str) -> DataFrame:
+    def scan(self, path: str, schema: str) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as problem:
@@ -34,41 +29,14 @@ class BatchTable:
             return self.spark.createDataFrame([], schema)
 
     def read(self) -> DataFrame:
-        return self._scan(self.path, f"{self.schema}, batch_id BIGINT")
+        return self.scan(self.path, f"{self.schema}, batch_id BIGINT")
 
     def at(self, batch_id: int) -> DataFrame:
         """Rows of one batch, without listing the others."""
-        return self._scan(f"{self.path}/batch_id={batch_id}", self.schema)
+        return self.scan(f"{self.path}/batch_id={batch_id}", self.schema)
 
     def has(self, batch_id: int) -> bool:
         return not self.at(batch_id).isEmpty()
 
     def write(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
-
-
-class LedgerTable(BatchTable):
-    """Seen fingerprints after each batch; batch ids are consecutive.
-
-    With a cap every batch holds the whole ledger, at most ``cap`` rows. Without one a
-    batch holds only its own inserts, so that a poll never rewrites older fingerprints.
-    A ledger that is missing counts as empty, and is seeded; one with a damaged file is an error,
-    as reading on without a part of it would read and post that part's items again.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, cap: int | None = None):
-        super().__init__(spark, path, LEDGER_SCHEMA)
-        self.cap = cap
-
-    def before(self, batch_id: int) -> DataFrame:
-        """The ledger as the batches before ``batch_id`` left it."""
-        if self.cap is not None:
-            return self.at(batch_id - 1)
-        return self.read().where(F.col("batch_id") < batch_id).drop("batch_id")
-
-    def insert(self, sightings: DataFrame, batch_id: int) -> None:
-        """Append ``sightings``, of which the ledger holds none, and evict."""
-        fresh = sightings.select(*LEDGER_COLUMNS)
-        if self.cap is not None:
-            fresh = capped(self.before(batch_id).unionByName(fresh), self.cap)
-        self.write(fresh, batch_id)

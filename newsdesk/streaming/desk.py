@@ -22,7 +22,8 @@ from newsdesk.operators import dedupe, delivery, queue, reads, status
 from newsdesk.sources import catalogue
 from newsdesk.sources.items import ITEM_COLUMNS
 from newsdesk.sources.params import Params, reload_params
-from newsdesk.sources.tables import BatchTable, LedgerTable, one_row
+from newsdesk.sources.ledger import LedgerTable
+from newsdesk.sources.tables import BatchTable, one_row
 
 ITEM_SCHEMA = "feed_ord INT, entry_ord BIGINT, title STRING, link STRING, source STRING, fp STRING"
 READ_SCHEMA = "category STRING, read STRING, severity INT, confidence STRING"
@@ -101,26 +102,23 @@ class Desk:
     def poll(self, offered: DataFrame, poll_id: int) -> None:
         """Gather, skip what is seen, read the rest once, queue what is cleared."""
         self.refresh_params()
-        first_run, self.started = not self.started and self.ledger.before(poll_id).isEmpty(), True
+        first_run, self.started = not self.started and not self.ledger.size(poll_id), True
         if self.polls.has(poll_id):
             return
         again = reads.failed(self.reads_of(poll_id - 1)).select(*ITEM_COLUMNS)
         items = offered.select(*ITEM_COLUMNS).withColumn("entry_ord", F.col("entry_ord").cast("bigint"))
         self.gathered.write(dedupe.gathered(items.unionByName(again)), poll_id)
-        batch, ledger = self.gathered.at(poll_id), self.ledger.before(poll_id)
+        batch = self.gathered.at(poll_id)
         if first_run:
             self.ledger.insert(dedupe.seeded(batch, poll_id), poll_id)
-            seen = self.ledger.before(poll_id + 1).count()
-            self._finish_poll(poll_id, 0, seen, status.seed_line(batch.count()))
+            self._finish_poll(poll_id, 0, self.ledger.size(poll_id + 1), status.seed_line(batch.count()))
             return
-        if self.ledger.cap is None:
-            ledger = dedupe.known(ledger, batch)
-        self._ask(dedupe.unseen(batch, ledger), poll_id)
+        self._ask(dedupe.unseen(batch, self.ledger.met(batch, poll_id)), poll_id)
         good = reads.succeeded(self.reads_of(poll_id))
         self.ledger.insert(dedupe.seeded(good, poll_id), poll_id)
         cards = reads.cleared(good, self.params.min_severity)
         self.cards.write(cards.withColumn("poll_id", F.lit(poll_id).cast("bigint")), poll_id)
-        new, seen = self.cards.at(poll_id).count(), self.ledger.before(poll_id + 1).count()
+        new, seen = self.cards.at(poll_id).count(), self.ledger.size(poll_id + 1)
         queued = self._queued() + new
         self._finish_poll(poll_id, new, seen, f"poll: {new} new · {queued} queued · {seen} seen")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from newsdesk.operators import dedupe
 from newsdesk.operators.queue import popped, remaining
 from newsdesk.operators.rank import ranked
-from newsdesk.sources.tables import LedgerTable
+from newsdesk.sources.ledger import LedgerTable
 
 
 def item_table(spark, seed, size=400):
@@ -125,9 +125,9 @@ def test_damaged_ledger_is_an_error_and_a_missing_one_empty(spark, tmp_path):
     assert LedgerTable(spark, str(tmp_path / "none")).before(1).isEmpty()
     table = LedgerTable(spark, str(tmp_path / "ledger"))
     table.insert(ledger_of(spark, [("a", 0, 0, 0)]), 0)
-    for file in (tmp_path / "ledger" / "batch_id=0").glob("part-*"):
+    for file in (tmp_path / "ledger" / "segments").glob("*/*/part-*"):
         file.write_bytes(b"not a table")
-    for checksum in (tmp_path / "ledger" / "batch_id=0").glob(".part-*"):
+    for checksum in (tmp_path / "ledger" / "segments").glob("*/*/.part-*"):
         checksum.unlink()
     with pytest.raises(Exception, match="FAILED_READ_FILE|CANNOT_READ"):
         table.before(1).collect()
