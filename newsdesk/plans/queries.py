@@ -358,9 +358,8 @@ def _history(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def queue_replay(spark: SparkSession, folder: str) -> DataFrame:
     history, flow = _history(spark, folder)
-    return queue.queue_replay(history, flow, FLOOR, "event_id").select(
-        "event_id", "severity", "poll_id", "left_poll", "place"
-    )
+    narrow = history.select("event_id", "category", "severity", "poll_id")
+    return queue.queue_replay(narrow, flow, FLOOR, "event_id").drop("category")
 
 
 # Status
@@ -388,8 +387,8 @@ def posted_counts(spark: SparkSession, folder: str) -> DataFrame:
 def status_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """Snapshot at the end of the replayed history."""
     history, flow = _history(spark, folder)
-    replayed = queue.queue_replay(history, flow, FLOOR, "event_id")
-    popped = _outcomes(replayed, spark).select("category", "outcome")
+    left = queue.leavers(history, flow, FLOOR, "event_id")
+    popped = _outcomes(left, spark).select("category", "outcome")
     return status.status_snapshot(flow, popped, V.PARAMS, len(catalogue.CATALOGUE))
 
 
@@ -407,23 +406,27 @@ def feedcheck_rollup(spark: SparkSession, folder: str) -> DataFrame:
     return status.feedcheck_rollup(_health(spark, folder))
 
 
-def _activity(spark: SparkSession, folder: str) -> DataFrame:
-    """Lines of the replayed history: each poll's line, then those of its pops."""
+def _activity(spark: SparkSession, folder: str, lines: int | None = None) -> DataFrame:
+    """Lines of the replayed history: each poll's line, then those of its pops.
+
+    For the newest ``lines`` of them only the polls that have these are replayed.
+    """
     history, flow = _history(spark, folder)
+    since = None if lines is None else queue.since_poll(flow, lines)
     polls = queue.poll_summary(flow).select(
         "poll_id", F.lit(0).cast("bigint").alias("place"), status.poll_line().alias("line")
     )
-    replayed = queue.queue_replay(history, flow, FLOOR, "event_id")
+    replayed = queue.queue_replay(history, flow, FLOOR, "event_id", since=since)
     pops = _outcomes(replayed, spark).select(F.col("left_poll").alias("poll_id"), "place", "line")
-    return polls.unionByName(pops)
+    return (polls if since is None else polls.where(F.col("poll_id") >= since)).unionByName(pops)
 
 
 def activity_log(spark: SparkSession, folder: str) -> DataFrame:
-    return status.recent_log(_activity(spark, folder), status.LOG_LINES, "poll_id", "place")
+    return status.recent_log(_activity(spark, folder, status.LOG_LINES), status.LOG_LINES, "poll_id", "place")
 
 
 def recent_log(spark: SparkSession, folder: str) -> DataFrame:
-    return status.recent_log(_activity(spark, folder), status.SNAPSHOT_LINES, "poll_id", "place")
+    return status.recent_log(_activity(spark, folder, status.SNAPSHOT_LINES), status.SNAPSHOT_LINES, "poll_id", "place")
 
 
 def activity_posted(spark: SparkSession, folder: str) -> DataFrame:
