@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,24 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+_stores: list[Callable[[], None]] = []
+"""What empties a store that tasks of one Python worker share."""
+
+
+def emptied_by(clear: Callable[[], None]) -> None:
+    _stores.append(clear)
+
+
+def fresh_memory() -> None:
+    """Give back what earlier tasks of this Python worker have left: stores of other operators, and free pages."""
+    for clear in _stores:
+        clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts hold at most ``most`` bytes, or one row that holds more."""
     if not batch.num_rows:

@@ -110,6 +110,7 @@ def common_tokens(docs: DataFrame, n: int) -> bytes:
 
 
 def _sets(batches: Iterator[pa.RecordBatch], n: int, num: int, den: int, common) -> Iterator[pa.RecordBatch]:
+    arrays.fresh_memory()
     parts = Parts(num, den)
     bits = np.frombuffer(common.value, np.uint8)
     for batch in batches:
@@ -142,6 +143,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     A key that a third of all rows share so leaves one row per batch.
     """
+    arrays.fresh_memory()
     for batch in batches:
         keys = batch.column("keys")
         ids = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(keys.offsets.to_numpy()))
@@ -158,6 +160,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    arrays.fresh_memory()
     for batch in batches:
         for piece in arrays.slices(batch, "text"):
             rows, tokens = arrays.shingles(arrays.words_of(piece.column("text"), lower=True), n)
@@ -169,6 +172,7 @@ def _tokens(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatc
 
 def _links(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Exact links within each block; where some rows are ``visitor``, only between those and the others."""
+    arrays.fresh_memory()
     for table in arrays.groups(batches, "block"):
         ids = table.column("doc_id").to_numpy()
         label = table.column("label").to_numpy()

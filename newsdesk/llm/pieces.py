@@ -207,6 +207,9 @@ class Pieces:
         return text[1:] if self.prefix and text[:1] == b" " else text
 
 
+arrays.emptied_by(Pieces.of.cache_clear)
+
+
 def encoded_batches(batches: Iterator[pa.RecordBatch], model: str) -> Iterator[pa.RecordBatch]:
     pieces = Pieces.of(model)
     for batch in batches:

@@ -84,6 +84,7 @@ PROFILE = "doc_id long, n_bytes long, whole binary, anchors array<long>"
 
 
 def _profile(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator[pa.RecordBatch]:
+    arrays.fresh_memory()
     for batch in batches:
         for piece in arrays.slices(batch, "text"):
             raw, off = arrays.byte_view(piece.column("text"))
@@ -111,6 +112,7 @@ STRETCHES = "doc_id long, start long, anchor long, hot boolean, stretch binary"
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator[pa.RecordBatch]:
     """Stretches of repeated anchors; of equal ones in a batch one, the others as already repeated (no bytes)."""
+    arrays.fresh_memory()
     for batch in batches:
         for piece in arrays.slices(batch, "text"):
             raw, off = arrays.byte_view(piece.column("text"))
@@ -152,6 +154,7 @@ SPANS = "doc_id long, a long, b long"
 
 def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Spans of bytes that repeated windows cover, from a suffix array of each shard."""
+    arrays.fresh_memory()
     for table in arrays.groups(batches, "shard"):
         parts = [x.as_buffer() for x in table.column("stretch")]
         sizes = np.array([len(p) for p in parts])
@@ -170,6 +173,7 @@ def _shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Recor
 
 
 def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    arrays.fresh_memory()
     for batch in batches:
         for piece in arrays.slices(batch, "stretch"):
             raw, off = arrays.byte_view(piece.column("stretch"))
@@ -183,6 +187,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
 
 
 def _kept(batches: Iterator[pa.RecordBatch], texts: bool) -> Iterator[pa.RecordBatch]:
+    arrays.fresh_memory()
     for batch in batches:
         removed, runs, kept, rest = [], [], [], []
         for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):

@@ -132,3 +132,6 @@ class WordTokens:
             return np.zeros(0, np.uint32), np.zeros(len(text) + 1, np.int64)
         ids, bounds = self.words.take(self.places[at])
         return ids, bounds[words.bounds]
+
+
+arrays.emptied_by(WordTokens.of.cache_clear)
