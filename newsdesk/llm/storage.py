@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
-from newsdesk.session import checkpoint_folder
+from newsdesk.session import staging_folder
 
 PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
@@ -40,8 +39,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder: computed once, and safe from lost executors."""
+    """``df`` as Parquet in the shared folder: computed once, and safe from lost executors; it goes with the application."""
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark, f'llm-{name}')}/rows"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

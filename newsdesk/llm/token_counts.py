@@ -13,7 +13,6 @@ further columns are not read.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from newsdesk.llm.pieces import encoded_batches
 from newsdesk.llm.storage import documents, ship_package
-from newsdesk.session import checkpoint_folder
+from newsdesk.session import staging_folder
 
 BLOCK_TOKENS = 1 << 18
 GROUP = 4096
@@ -121,7 +120,7 @@ def token_counts(spark: SparkSession, path: str, end: int = END, width: int = 2,
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of all documents, from token files of the table; ``part`` is the number of the file."""
-    path = f"{checkpoint_folder(spark)}/llm-tokens-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark, 'llm-tokens')}/files"
     write_token_files(documents(spark, sf_dir), path, MODEL)
     counts = token_counts(spark, path)
     return counts.select(F.regexp_extract("file", r"part-(\d+)", 1).cast("int").alias("part"), "document", "start", "n_tokens")

@@ -14,7 +14,6 @@ its longest document.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import partial
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from newsdesk.llm import arrays, plane_files
 from newsdesk.llm.storage import documents, ship_package, written
 from newsdesk.llm.word_tokens import WordTokens
-from newsdesk.session import checkpoint_folder
+from newsdesk.session import staging_folder
 
 TOKENIZER, END = "word_bpe_49k.json", 2
 RANGE_BYTES = 32 << 20
@@ -128,6 +127,6 @@ def read_planes(spark: SparkSession, path: str, digests: bool = False) -> DataFr
 
 
 def op12_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{checkpoint_folder(spark)}/llm-planes-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark, 'llm-planes')}/files"
     write_planes(documents(spark, sf_dir), path)
     return read_planes(spark, path, digests=True)

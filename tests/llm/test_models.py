@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from newsdesk.llm import quality, toxicity
+from newsdesk.llm import labelled, quality, toxicity
 from newsdesk.llm.toxicity import label_model
 
 DATA = "/root/testdata/sf0.1"
@@ -126,3 +126,18 @@ def test_stages_take_odd_rows(spark, nothing):
             out = stage(spark, docs, sf)
             assert out.columns == docs.columns and out.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
+
+
+def test_an_id_of_very_many_rows_is_one_training_row(spark, labels, given):
+    """The bound on training rows is one of rows, whatever a labelled or drawn id repeats."""
+    known = [i for i in range(3000) if not held(i)]
+    some = spark.createDataFrame([(i, n % 2, n % 2) for n, i in enumerate(known[:200])], "doc_id long, quality int, toxic int")
+    hot = spark.range(50_000).selectExpr(f"{known[1]}L as doc_id", "concat('hot text ', id % 7) as text")
+    docs = given.select("doc_id", "text").where("doc_id < 150").union(hot)
+    rows = labelled.training_rows(docs, some, "toxic", 40)
+    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    assert sizes and max(sizes.values()) <= 40
+    assert rows.groupBy("doc_id").count().where("count > 1").count() == 0
+    unlabelled = labelled.one_of_each_id(docs, "doc_id")
+    assert unlabelled.count() == docs.select("doc_id").distinct().count()
+    assert unlabelled.where(f"doc_id = {known[1]}").head().text <= "hot text 0"
