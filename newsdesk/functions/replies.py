@@ -33,6 +33,21 @@ def whole_value(pair: Column, text: Column) -> Column:
     return F.when(whole, F.try_variant_get(pair, "$[0]", "variant"))
 
 
+def one_json_value(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else, whatever keys it repeats.
+
+    Between two members of an object it must leave just those two: the keys tell text that
+    closes the object or adds a member, and the strict parse tells everything else.
+    """
+    between = F.concat(F.lit('{"v":'), text, F.lit(',"s":0}'))
+    strict = F.from_json(
+        between, "v STRING, s STRING, _malformed STRING",
+        {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false", "columnNameOfCorruptRecord": "_malformed"},
+    )
+    keys = F.json_object_keys(between)
+    return F.coalesce((keys == F.array(F.lit("v"), F.lit("s"))) & strict["_malformed"].isNull(), F.lit(False))
+
+
 def _seal(text: Column) -> Column:
     return F.xxhash64(text).cast("string")
 

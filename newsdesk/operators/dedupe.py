@@ -7,6 +7,7 @@ entry_ord``, which grows with time.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from newsdesk.functions.text import fingerprint, is_blank
@@ -72,12 +73,35 @@ def upserted(ledger: DataFrame, sightings: DataFrame) -> DataFrame:
     return first_wins(both, "fp", SEEN_POSITION)
 
 
+def _edge(ledger: DataFrame, position: str, wanted: int) -> tuple[object, int] | None:
+    """Where the newest ``wanted`` rows end: a value of ``position``, and how many rows of it are among them."""
+    # At most so many values count, as each has a row.
+    newest = ledger.groupBy(position).count().orderBy(F.desc(position)).limit(wanted)
+    later = F.sum("count").over(W.orderBy(F.desc(position))) - F.col("count")
+    row = newest.withColumn("later", later).where(F.col("later") < wanted).orderBy(position).head()
+    return None if row is None else (row[position], wanted - row["later"])
+
+
 def capped(ledger: DataFrame, cap: int | None) -> DataFrame:
-    """The ``cap`` fingerprints inserted last, or all; re-sightings do not refresh their age."""
+    """The ``cap`` fingerprints inserted last, or all; re-sightings do not refresh their age.
+
+    Polls, and feeds within a poll, stay or go as a whole by their sizes; only rows of the one feed of one poll in
+    which the cap falls are ranked. The ledger is read several times: hand in one that is written down.
+    """
     if cap is None:
         return ledger
+    kept, within, rest, wanted = F.lit(False), F.lit(True), ledger, cap
+    for position in SEEN_POSITION[:-1]:
+        edge = _edge(rest, position, wanted) if wanted > 0 else None
+        if edge is None:
+            return ledger.where(kept)
+        at, wanted = edge
+        kept = kept | (within & (F.col(position).isNotNull() if at is None else F.col(position) > F.lit(at)))
+        within = within & F.col(position).eqNullSafe(F.lit(at))
+        rest = ledger.where(within)
     newest = [F.desc(c) for c in INSERT_ORDER]
-    return ranked(ledger, newest, name="_age").where(F.col("_age") <= cap).drop("_age")
+    part = ranked(rest, newest, name="_age").where(F.col("_age") <= wanted).drop("_age")
+    return ledger.where(kept).unionByName(part)
 
 
 def first_sightings(history: DataFrame, seed_poll: int = 0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsdesk.sources.catalogue import BANDS
+from newsdesk.sources.encodings import NO_CONTENT
 from newsdesk.sources.params import Params
 
 # Lines the activity log keeps, and lines a snapshot shows.
@@ -60,18 +61,19 @@ def feedcheck(feeds: DataFrame, parsed: DataFrame) -> DataFrame:
     """Health of every catalogue feed: payloads landed, entries found, and its line.
 
     A feed is ok when all its payloads were valid, even without entries; a feed with a
-    bad payload, or none at all, is not.
+    bad payload, or none at all, is not, and its line tells why.
     """
     health = parsed.groupBy("feed_ord").agg(
         F.count("*").alias("payloads"),
         F.count_if("ok").alias("valid"),
         F.sum(F.size("entries")).cast("bigint").alias("items"),
+        F.min("reason").alias("reason"),
     )
     ok = F.coalesce(F.col("payloads") == F.col("valid"), F.lit(False))
     checked = feeds.join(health, "feed_ord", "left").withColumn("ok", ok)
     line = F.when(
         F.col("ok"), F.format_string("[ok ] %-16s %3d  (%s)", "source", "items", F.initcap("hint"))
-    ).otherwise(F.format_string("[ERR] %-16s", "source"))
+    ).otherwise(F.format_string("[ERR] %-16s %s", F.col("source"), F.coalesce("reason", F.lit(NO_CONTENT))))
     return checked.select(
         "feed_ord",
         "source",

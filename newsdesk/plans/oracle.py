@@ -142,29 +142,29 @@ VIEWS = {
                     ELSE 'posted ' || emoji || ' ' || label || ' — ' || title END AS line
         FROM cards""",
     "parts": f"""
-        SELECT event_id, k, k % 4 + 1 AS sev, event_id % 12 AS kind,
+        SELECT event_id, k, k % 4 + 1 AS sev, event_id % 15 AS kind,
                {matches('event_type', V.CATEGORY_OF_TYPE)} AS band,
                {matches('event_type', V.SYNONYM_OF_TYPE)} AS synonym
         FROM (SELECT *, {K_OF_EVENT} AS k FROM events)""",
     "answers": """
-        SELECT event_id, k, kind <> 11 AS valid,
+        SELECT event_id, k, kind NOT IN (11, 13) AS valid,
                CASE WHEN kind IN (3, 4) THEN 'drop' ELSE band END AS category,
                CASE WHEN kind = 10 THEN '' ELSE 'k is ' || k END AS read,
                CASE WHEN kind = 7 THEN CASE WHEN k % 8 < 1 THEN 1 WHEN k % 8 > 4 THEN 4 ELSE k % 8 END
                     WHEN kind IN (8, 9, 10) THEN 1 ELSE sev END AS severity,
-               CASE kind WHEN 0 THEN 'high' WHEN 2 THEN 'medium' WHEN 5 THEN 'very sure' ELSE 'low' END AS confidence
+               CASE kind WHEN 0 THEN 'high' WHEN 12 THEN 'high' WHEN 14 THEN 'high' WHEN 2 THEN 'medium' WHEN 5 THEN 'very sure' ELSE 'low' END AS confidence
         FROM parts""",
     "raws": """
         SELECT event_id, CASE
             WHEN kind = 10 THEN '{"category":"' || band || '"}'
-            ELSE '{"category":"' || CASE kind WHEN 1 THEN synonym WHEN 2 THEN upper(band) WHEN 3 THEN 'central_bank'
+            ELSE CASE WHEN kind = 14 THEN '{"more":{"a":1,"a":2},"category":"' ELSE '{"category":"' END || CASE kind WHEN 1 THEN synonym WHEN 2 THEN upper(band) WHEN 3 THEN 'central_bank'
                                              WHEN 4 THEN ' ' || band ELSE band END
               || '","read":"k is ' || k || '","severity":'
               || CASE kind WHEN 5 THEN '"' || sev || '"' WHEN 6 THEN '" +' || sev || ' "' WHEN 7 THEN '' || (256 + k % 8)
-                           WHEN 8 THEN '-' || sev WHEN 9 THEN sev || '.0' ELSE '' || sev END
-              || ',"confidence":"' || CASE WHEN kind IN (0, 11) THEN 'High' WHEN kind = 1 THEN '' WHEN kind = 2 THEN 'MEDIUM'
+                           WHEN 8 THEN '-' || sev WHEN 9 THEN sev || '.0' WHEN 13 THEN '1e999' ELSE '' || sev END
+              || ',"confidence":"' || CASE WHEN kind IN (0, 11, 12, 14) THEN 'High' WHEN kind = 1 THEN '' WHEN kind = 2 THEN 'MEDIUM'
                                            WHEN kind = 5 THEN 'Very Sure' ELSE 'low' END
-              || '"}' || CASE WHEN kind = 11 THEN ' trailing' ELSE '' END
+              || CASE WHEN kind = 11 THEN '"} trailing' WHEN kind = 12 THEN '","note":1,"note":2}' ELSE '"}' END
             END AS raw
         FROM parts""",
     "padded": f"SELECT entry_ord, doc_id, line_no, title, ' ' || {fp('title')} || ' ' AS padded FROM items",
@@ -222,11 +222,12 @@ VIEWS = {
         SELECT left_poll, CAST(place AS BIGINT), line FROM replayed""",
     "health": f"""
         SELECT f.feed_ord, f.source, f.hint, coalesce(h.ok, false) AS ok,
-               coalesce(h.payloads, 0) AS payloads, coalesce(h.items, 0) AS items
+               coalesce(h.payloads, 0) AS payloads, coalesce(h.items, 0) AS items, h.reason
         FROM {values([(at, row[1], row[2]) for at, row in enumerate(K.CATALOGUE)])} f(feed_ord, source, hint)
         LEFT JOIN (
             SELECT CAST(substr(source, 4) AS INTEGER) AS feed_ord, count(*) AS payloads,
                    bool_and(NOT cut) AS ok,
+                   min(CASE WHEN cut THEN CASE WHEN doc_id % 6 = 4 THEN 'not a JSON feed' ELSE 'malformed XML' END END) AS reason,
                    sum(CASE WHEN NOT cut THEN len(string_split(text, chr(10))) ELSE 0 END) AS items
             FROM (SELECT *, source IS NOT DISTINCT FROM 'src7' AND lang IS NOT DISTINCT FROM 'en' AS cut
                   FROM documents) GROUP BY 1) h USING (feed_ord)""",
@@ -293,7 +294,8 @@ ORACLE = {
     "sweep_urls": query(("items",), f"SELECT doc_id, line_no, {SEARCH % 'title'} AS url FROM items"),
     "feed_items_xml": query(
         ("lines",),
-        """SELECT feed_ord, doc_id, CAST(line_no AS INTEGER) AS entry_ord, trim(title, chr(9) || chr(13) || ' ') AS title,
+        """SELECT feed_ord, doc_id, CAST(line_no AS INTEGER) AS entry_ord,
+                  CASE WHEN doc_id % 6 = 4 THEN title ELSE trim(title, chr(9) || chr(13) || ' ') END AS title,
                   'https://example.org/d/' || doc_id || '/' || line_no AS link
            FROM lines WHERE NOT cut""",
     ),
@@ -472,7 +474,8 @@ ORACLE = {
                   CASE WHEN ok THEN '[ok ] ' || rpad(source, CAST(greatest(16, length(source)) AS INTEGER), ' ') || ' '
                            || lpad(CAST(items AS VARCHAR), CAST(greatest(3, length(CAST(items AS VARCHAR))) AS INTEGER), ' ')
                            || '  (' || upper(hint[1]) || hint[2:] || ')'
-                       ELSE '[ERR] ' || rpad(source, CAST(greatest(16, length(source)) AS INTEGER), ' ') END AS line
+                       ELSE '[ERR] ' || rpad(source, CAST(greatest(16, length(source)) AS INTEGER), ' ') || ' ' || coalesce(reason, 'nothing landed')
+                       END AS line
            FROM health""",
     ),
     "feedcheck_rollup": query(

@@ -15,7 +15,7 @@ from newsdesk.operators import dedupe, delivery, queue, reads, status
 from newsdesk.operators.decode import with_reply, with_response
 from newsdesk.operators.joins import with_band, with_channel, with_skin
 from newsdesk.plans import views as V
-from newsdesk.session import staging_folder
+from newsdesk.session import cut_lineage, staging_folder
 from newsdesk.sources import catalogue, items, params
 from newsdesk.sources.ledger import LedgerTable
 
@@ -47,7 +47,7 @@ def sweep_urls(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def feed_items_xml(spark: SparkSession, folder: str) -> DataFrame:
-    return items.items_of(items.parsed_payloads(V.document_payloads(spark, folder))).select(
+    return items.items_of(items.parsed_payloads(items.decoded_payloads(V.document_payloads(spark, folder)))).select(
         "feed_ord", "doc_id", "entry_ord", "title", "link"
     )
 
@@ -134,7 +134,7 @@ def ledger_upsert(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ledger_capped(spark: SparkSession, folder: str) -> DataFrame:
-    return dedupe.capped(ledger_upsert(spark, folder), CAP)
+    return dedupe.capped(cut_lineage(ledger_upsert(spark, folder)), CAP)
 
 
 def ledger_after_poll(spark: SparkSession, folder: str) -> DataFrame:
@@ -394,7 +394,7 @@ def status_snapshot(spark: SparkSession, folder: str) -> DataFrame:
 
 def _health(spark: SparkSession, folder: str) -> DataFrame:
     return status.feedcheck(
-        catalogue.feeds(spark), items.parsed_payloads(V.document_payloads(spark, folder))
+        catalogue.feeds(spark), items.parsed_payloads(items.decoded_payloads(V.document_payloads(spark, folder)))
     )
 
 

@@ -99,9 +99,10 @@ def all_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def document_payloads(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document as a feed payload whose entries are its lines.
+    """Every document as the bytes of a feed payload whose entries are its lines.
 
-    Even ids are RSS, odd ids Atom; the English payloads of one feed were cut off.
+    By their number they are RSS, Atom, RSS in UTF-16, Atom with a prefix and a comment before its root, JSON
+    Feed, and RSS in windows-1252 where its characters allow; the English payloads of one feed were cut off.
     """
     text = F.col("text")
     for written, escaped in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
@@ -112,32 +113,49 @@ def document_payloads(spark: SparkSession, folder: str) -> DataFrame:
     def joined(entry) -> Column:
         return F.array_join(F.transform(lines, entry), "")
 
-    rss = F.concat(
-        F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>c</title>'),
-        joined(
+    def rss(declaration: str) -> Column:
+        items = joined(
             lambda line, at: F.concat(
                 F.lit("<item><title>"), line, F.lit("</title><link>"), address, at, F.lit("</link></item>")
             )
-        ),
-        F.lit("</channel></rss>"),
-    )
-    atom = F.concat(
-        F.lit('<feed xmlns="http://www.w3.org/2005/Atom"><title>c</title>'),
-        joined(
+        )
+        return F.concat(F.lit(declaration + '<rss version="2.0"><channel><title>c</title>'), items, F.lit("</channel></rss>"))
+
+    def atom(before: str, prefix: str, name: str) -> Column:
+        entries = joined(
             lambda line, at: F.concat(
-                F.lit('<entry><title type="text">'), line, F.lit('</title><link href="'), address, at,
-                F.lit('"/><link href="https://example.org/other"/></entry>'),
+                F.lit(f'<{prefix}entry><{prefix}title type="text">'), line, F.lit(f'</{prefix}title><{prefix}link href="'), address, at,
+                F.lit(f'"/><{prefix}link href="https://example.org/other"/></{prefix}entry>'),
             )
-        ),
-        F.lit("</feed>"),
+        )
+        start = f'{before}<{prefix}feed {name}="http://www.w3.org/2005/Atom"><{prefix}title>c</{prefix}title>'
+        return F.concat(F.lit(start), entries, F.lit(f"</{prefix}feed>"))
+
+    listed = F.to_json(
+        F.struct(
+            F.lit("https://jsonfeed.org/version/1.1").alias("version"),
+            F.lit("c").alias("title"),
+            F.transform(
+                F.split("text", "\n"), lambda line, at: F.struct(F.concat(address, at).alias("url"), line.alias("title"))
+            ).alias("items"),
+        )
     )
-    body = F.when(F.col("doc_id") % 2 == 0, rss).otherwise(atom)
-    payloads = table(spark, folder, "documents").withColumn("body", body)
+    narrow = F.rlike(F.col("text"), F.lit(r"^[\x{0}-\x{7F}\x{A0}-\x{FF}]*$"))
+    kinds = [
+        (rss('<?xml version="1.0"?>'), "UTF-8"),
+        (atom("", "", "xmlns"), "UTF-8"),
+        (rss('<?xml version="1.0" encoding="UTF-16"?>'), "UTF-16"),
+        (atom("<!-- <html> --> ", "a:", "xmlns:a"), "UTF-8"),
+        (listed, "UTF-8"),
+        (F.when(narrow, rss('<?xml version="1.0" encoding="windows-1252"?>')).otherwise(rss("")), None),
+    ]
     cut_off = (F.col("source") == "src7") & (F.col("lang") == "en")
-    cut = F.when(cut_off, F.left("body", F.length("body") - 10)).otherwise(F.col("body"))
-    return payloads.select(
-        "doc_id", feed_number().alias("feed_ord"), cut.alias("body")
-    )
+    content = F.lit(None).cast("binary")
+    for at, (body, encoding) in enumerate(kinds):
+        cut = F.when(cut_off, F.left(body, F.length(body) - 10)).otherwise(body)
+        written = F.encode(cut, encoding) if encoding else F.when(narrow, F.encode(cut, "ISO-8859-1")).otherwise(F.encode(cut, "UTF-8"))
+        content = F.when(F.col("doc_id") % len(kinds) == at, written).otherwise(content)
+    return table(spark, folder, "documents").select("doc_id", feed_number().alias("feed_ord"), content.alias("content"))
 
 
 def wall_seconds(ts: Column) -> Column:
@@ -179,7 +197,7 @@ def event_headlines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def event_replies(spark: SparkSession, folder: str) -> DataFrame:
-    """Every event as a reader's reply, in twelve spellings from clean to broken."""
+    """Every event as a reader's reply, in fifteen spellings from clean to broken."""
     k = event_number()
     band, synonym = by_type(CATEGORY_OF_TYPE), by_type(SYNONYM_OF_TYPE)
     severity = k % 4 + 1
@@ -207,6 +225,9 @@ def event_replies(spark: SparkSession, folder: str) -> DataFrame:
         reply(band, F.concat(severity, F.lit(".0")), "low"),
         F.concat(F.lit('{"category":"'), band, F.lit('"}')),
         F.concat(clean, F.lit(" trailing")),
+        F.concat(F.left(clean, F.length(clean) - 1), F.lit(',"note":1,"note":2}')),
+        reply(band, F.lit("1e999"), "low"),
+        F.concat(F.lit('{"more":{"a":1,"a":2},'), F.substring(clean, 2, 10_000)),
     ]
     raw = spellings[-1]
     for at, spelling in enumerate(spellings[:-1]):

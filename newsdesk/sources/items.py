@@ -6,12 +6,16 @@ several equal titles comes first.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsdesk.functions.barrier import computed_once
+from newsdesk.sources.encodings import NO_CONTENT, payload_text
 
 ITEM_COLUMNS = ("feed_ord", "entry_ord", "title", "link", "source")
 
@@ -23,6 +27,10 @@ PAYLOAD_SCHEMA = (
     "_malformed STRING"
 )
 FEED_ROOTS = ("rss", "rdf:RDF", "feed")
+JSON_SCHEMA = "version STRING, items ARRAY<STRUCT<title: STRING, url: STRING, external_url: STRING>>, _malformed STRING"
+JSON_VERSION = "https://jsonfeed.org/version/"
+# What may stand before the root of a document: declarations and comments.
+PROLOG = r"^(?:\s|\x{FEFF}|<\?[\s\S]*?\?>|<!--[\s\S]*?-->|<!DOCTYPE[^>\[]*(?:\[[\s\S]*?\])?\s*>)*"
 
 # Named character references decoded in page titles, ampersand last.
 HTML_ENTITIES = (
@@ -31,24 +39,40 @@ HTML_ENTITIES = (
 )
 
 
-LANDED_SCHEMA = "value STRING, feed_ord INT"
-
-
 def landed_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """``feed_ord, body`` of payload files landed as ``<path>/feed_ord=<n>/<file>``.
+    """``feed_ord, body, problem`` of payload files landed as ``<path>/feed_ord=<n>/<file>``, whatever their encoding.
 
-    A failed fetch lands as an empty file.
+    A failed fetch lands as a blank file; one without any byte is not read, and its feed has nothing landed.
     """
-    files = spark.read.schema(LANDED_SCHEMA).option("wholetext", True).text(path)
-    return files.select("feed_ord", F.col("value").alias("body"))
+    return decoded_payloads(spark.read.format("binaryFile").load(path))
 
 
 def landing_payloads(spark: SparkSession, path: str, files_per_poll: int | None = None) -> DataFrame:
     """The same folder as a stream of newly landed payloads."""
-    reader = spark.readStream.schema(LANDED_SCHEMA).option("wholetext", True)
+    reader = spark.readStream.format("binaryFile").schema(
+        "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY, feed_ord INT"
+    )
     if files_per_poll is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_poll)
-    return reader.text(path).select("feed_ord", F.col("value").alias("body"))
+    return decoded_payloads(reader.load(path))
+
+
+def decoded_payloads(files: DataFrame) -> DataFrame:
+    """Replace the ``content`` of payloads by ``body``, its text, and ``problem``, why it has none.
+
+    The columns of the file source go; others stay.
+    """
+    rest = [f for f in files.schema.fields if f.name not in ("content", "path", "modificationTime", "length")]
+    schema = T.StructType([*rest, T.StructField("body", T.StringType()), T.StructField("problem", T.StringType())])
+    return files.select(*[f.name for f in rest], "content").mapInArrow(_decoded, schema)
+
+
+def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        read = [payload_text(content) for content in batch.column("content").to_pylist()]
+        kept = {name: batch.column(name) for name in batch.schema.names if name != "content"}
+        texts = {"body": pa.array([text for text, _ in read], pa.string()), "problem": pa.array([why for _, why in read], pa.string())}
+        yield pa.RecordBatch.from_pydict(kept | texts)
 
 
 def _entry(title: Column, link: Column) -> Column:
@@ -58,13 +82,29 @@ def _entry(title: Column, link: Column) -> Column:
 
 
 def parsed_payloads(payloads: DataFrame) -> DataFrame:
-    """Replace ``body`` by ``ok`` and ``entries``, the titles and first links in order.
+    """Replace ``body`` (and ``problem``) by ``ok``, ``reason`` and ``entries``, the titles and first links in order.
 
-    A missing, malformed or non-feed body is not ok and has no entries; a valid feed
-    without entries is ok.
+    Feeds are RSS 1.0 and 2.0, Atom, with or without a prefix, and JSON Feed. A missing, malformed or
+    non-feed body is not ok, has a reason and no entries; a valid feed without entries is ok.
     """
-    feed = F.from_xml("body", PAYLOAD_SCHEMA, {"columnNameOfCorruptRecord": "_malformed"})
-    root = F.regexp_extract(F.col("body"), r"<([A-Za-z_][\w.:-]*)", 1)
+    body = F.col("_body")
+    text = F.regexp_replace(F.col("body"), PROLOG, "")
+    is_json = F.startswith(body, F.lit("{"))
+    root = F.regexp_extract(body, r"^<([A-Za-z_][\w.:-]*)", 1)
+    # The elements of a feed whose root has a prefix, without it.
+    prefix = F.regexp_extract(body, r"^<([A-Za-z_][\w.-]*):feed[\s>]", 1)
+    bare = F.replace(F.replace(body, F.concat(F.lit("<"), prefix, F.lit(":")), F.lit("<")), F.concat(F.lit("</"), prefix, F.lit(":")), F.lit("</"))
+    plain = F.when(prefix != "", bare).otherwise(body)
+    rest = [c for c in payloads.columns if c not in ("body", "problem")]
+    problem = F.col("problem") if "problem" in payloads.columns else F.lit(None).cast("string")
+    shaped = computed_once(payloads, {"_body": text, "_problem": problem}).withColumns({"_root": F.when(prefix != "", "feed").otherwise(root), "_json": is_json})
+    parsed = computed_once(
+        shaped,
+        {
+            "_feed": F.from_xml(F.when(~F.col("_json"), plain), PAYLOAD_SCHEMA, {"columnNameOfCorruptRecord": "_malformed"}),
+            "_list": F.from_json(F.when(F.col("_json"), body), JSON_SCHEMA, {"columnNameOfCorruptRecord": "_malformed"}),
+        },
+    )
     rss = [F.col("_feed.channel.item"), F.col("_feed.item")]
     entries = [
         F.transform(items, lambda e: _entry(e["title"], F.try_element_at(e["link"], F.lit(1))))
@@ -76,21 +116,26 @@ def parsed_payloads(payloads: DataFrame) -> DataFrame:
             lambda e: _entry(e["title"], F.try_element_at(e["link"], F.lit(1))["_href"]),
         )
     )
+    entries.append(F.transform(F.col("_list.items"), lambda e: _entry(e["title"], F.coalesce(e["url"], e["external_url"]))))
     none = F.array().cast("array<struct<title:string,link:string>>")
     found = F.concat(*[F.coalesce(e, none) for e in entries])
-    ok = F.coalesce(
-        F.col("body").isNotNull() & F.col("_feed._malformed").isNull() & root.isin(*FEED_ROOTS),
-        F.lit(False),
+    listed = F.col("_list._malformed").isNull() & F.startswith(F.col("_list.version"), F.lit(JSON_VERSION))
+    reason = (
+        F.when(F.col("_problem").isNotNull(), F.col("_problem"))
+        .when(body.isNull() | (body == ""), F.lit(NO_CONTENT))
+        .when(F.col("_json"), F.when(F.coalesce(listed, F.lit(False)), F.lit(None)).otherwise("not a JSON feed"))
+        .when(F.col("_root") == "", F.lit("neither XML nor JSON"))
+        .when(~F.col("_root").isin(*FEED_ROOTS), F.concat(F.lit("not a feed: <"), F.col("_root"), F.lit(">")))
+        .when(F.col("_feed").isNull() | F.col("_feed._malformed").isNotNull(), F.lit("malformed XML"))
     )
-    rest = [c for c in payloads.columns if c != "body"]
-    parsed = computed_once(payloads, {"_feed": feed}).withColumn("ok", ok)
-    read = computed_once(parsed, {"entries": F.when(F.col("ok"), found).otherwise(none)})
-    return read.select(*rest, "ok", "entries")
+    judged = computed_once(parsed, {"reason": reason}).withColumn("ok", F.col("reason").isNull())
+    read = computed_once(judged, {"entries": F.when(F.col("ok"), found).otherwise(none)})
+    return read.select(*rest, "ok", "reason", "entries")
 
 
 def items_of(parsed: DataFrame) -> DataFrame:
     """Lateral expansion of parsed payloads, in entry order; other columns are kept."""
-    rest = [c for c in parsed.columns if c not in ("ok", "entries")]
+    rest = [c for c in parsed.columns if c not in ("ok", "reason", "entries")]
     return parsed.select(*rest, F.posexplode("entries").alias("entry_ord", "_entry")).select(
         *rest, "entry_ord", "_entry.title", "_entry.link"
     )

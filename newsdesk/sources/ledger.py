@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsdesk.operators.dedupe import INSERT_ORDER, LEDGER_COLUMNS, known
-from newsdesk.operators.rank import ranked
+from newsdesk.operators.dedupe import LEDGER_COLUMNS, capped, known
 from newsdesk.session import delete_folder
 from newsdesk.sources.tables import BatchTable
 
@@ -190,7 +189,7 @@ class LedgerTable:
             made = f"{batch_id}-{at}"
             rows = self._scan([self._folder(p) for p in segment.parts])
             if segment.skipped:
-                rows = ranked(rows, INSERT_ORDER, name="_age").where(F.col("_age") > segment.skipped).drop("_age")
+                rows = capped(rows, segment.rows)
             self._write(rows, made)
             state = state.unionByName(self._state_of(made, segment.oldest, segment.tier))
         self.states.write(state.repartition(1), batch_id)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from newsdesk.operators.status import feedcheck
 from newsdesk.sources import catalogue
+from newsdesk.sources.encodings import payload_text
 from newsdesk.sources.items import feed_items, landed_payloads, page_items, parsed_payloads
 
 RSS = (
@@ -55,6 +56,69 @@ def test_feedcheck_tells_empty_from_failed(spark):
     assert rows[2].line.startswith("[ERR] CNBC Markets")
 
 
+PREFIXED = (
+    '<?xml version="1.0"?>\n<!-- <html> -->\n<!DOCTYPE feed><a:feed xmlns:a="http://www.w3.org/2005/Atom" xmlns:m="urn:m"><a:title>f</a:title>'
+    '<a:entry><a:title>Ünï</a:title><m:title>not this</m:title><a:link href="http://p/1"/></a:entry></a:feed>'
+)
+LISTED = (
+    '{"version": "https://jsonfeed.org/version/1.1", "title": "j", "items": [{"id": 1, "title": "J “1”", "url": "http://j/1"},'
+    ' {"id": "2", "external_url": "http://j/2"}, {"id": "3", "title": "J3", "content_text": "x"}]}'
+)
+
+
+def test_more_kinds_of_feeds(spark):
+    parsed = parsed_payloads(payloads(spark, [PREFIXED, LISTED, " \ufeff" + RSS]))
+    got = {r.feed_ord: [tuple(e) for e in r.entries] for r in parsed.where("ok").collect()}
+    assert got == {
+        0: [("Ünï", "http://p/1")],
+        1: [("J “1”", "http://j/1"), ("", "http://j/2"), ("J3", "")],
+        2: [("A & B - X", "http://a/1"), ("<b>Bold</b>", ""), ("", "http://a/3")],
+    }
+
+
+def test_reasons_of_failure(spark):
+    bodies = [*BAD, "{broken", '{"version": "2", "items": []}', "<!-- only -->", "<a:html xmlns:a='x'/>"]
+    rows = parsed_payloads(payloads(spark, bodies)).orderBy("feed_ord").collect()
+    assert not any(r.ok or r.entries for r in rows)
+    assert [r.reason for r in rows] == [
+        "malformed XML", "neither XML nor JSON", "not a feed: <html>", "nothing landed", "nothing landed",
+        "not a JSON feed", "not a JSON feed", "nothing landed", "not a feed: <a:html>",
+    ]
+    lines = [r.line for r in feedcheck(catalogue.feeds(spark), parsed_payloads(payloads(spark, bodies[:3]))).orderBy("feed_ord").collect()]
+    assert lines[0] == "[ERR] DJ Markets       malformed XML" and lines[4] == "[ERR] Fed/Policy       nothing landed"
+
+
+TEXT = '<?xml version="1.0" encoding="{}"?><rss>é€ “x”</rss>'
+ENCODED = [
+    (TEXT.format("utf-8").encode(), None), (b"\xef\xbb\xbf" + TEXT.format("latin1").encode(), None),
+    (TEXT.format("UTF-16").encode("utf-16"), None), (TEXT.format("utf-16").encode("utf-16-be"), None),
+    (TEXT.format("utf-16le").encode("utf-16-le"), None), (b"\x00\x00\xfe\xff" + TEXT.format("x").encode("utf-32-be"), None),
+    (TEXT.format("windows-1252").encode("cp1252"), None), (TEXT.format("ISO-8859-1").encode("cp1252"), None),
+    (TEXT.format("utf-16").encode(), None), (TEXT.format("x-none").encode(), "unknown encoding: x-none"),
+    (b"", "nothing landed"), (None, "nothing landed"), (b" \n", "nothing landed"),
+]
+
+
+def test_encodings_of_payloads():
+    for content, problem in ENCODED:
+        text, why = payload_text(content)
+        assert why == problem
+        assert problem or text.endswith("?><rss>é€ “x”</rss>")
+    assert payload_text('<?xml version="1.0" encoding="windows-1251"?>Новости'.encode("cp1251"))[0].endswith("Новости")
+    assert payload_text('<?xml version="1.0" encoding="Shift_JIS"?>速報'.encode("shift_jis"))[0].endswith("速報")
+    assert payload_text(b"\x81\xff")[0] == "\ufffd\ufffd"
+    assert payload_text(b'<?xml version="1.0" encoding="cp1252"?>\x81')[0].endswith("\x81")
+
+
+def test_payloads_land_in_any_encoding(spark, tmp_path):
+    for feed, content in ((3, ATOM.encode("utf-16")), (7, b"\n"), (9, LISTED.encode())):
+        (tmp_path / f"feed_ord={feed}").mkdir()
+        (tmp_path / f"feed_ord={feed}" / "a").write_bytes(content)
+    parsed = {r.feed_ord: r for r in parsed_payloads(landed_payloads(spark, str(tmp_path))).collect()}
+    assert [len(parsed[feed].entries) for feed in (3, 7, 9)] == [2, 0, 3]
+    assert parsed[7].reason == "nothing landed"
+
+
 def test_landed_payloads(spark, tmp_path):
     for feed, body in ((3, ATOM), (7, RSS)):
         (tmp_path / f"feed_ord={feed}").mkdir()

@@ -44,7 +44,7 @@ def test_filters_lose_no_key():
 def test_the_ledger_is_the_list_of_inserts(spark, tmp_path, cap):
     rng = random.Random(3)
     table, held = L.LedgerTable(spark, str(tmp_path / "ledger"), cap, buckets=3, fan=2), []
-    for poll in range(7):
+    for poll in range(6):
         fps = [f"s{poll}-{i}" for i in range(rng.randint(0, 20))] if poll != 3 else []
         for _ in range(1 + (poll == 5)):  # a batch that is run again
             table.insert(rows_of(spark, fps, poll), poll)
@@ -55,19 +55,19 @@ def test_the_ledger_is_the_list_of_inserts(spark, tmp_path, cap):
         met = table.met(spark.createDataFrame([(fp,) for fp in asked], "fp string"), poll + 1)
         assert sorted(r.fp for r in met.collect()) == sorted(set(asked) & set(held))
         assert len(table.segments(poll + 1)) <= 4
-    live = {p for b in (6, 7) for s in table.segments(b) for p in s.parts}
+    live = {p for b in (5, 6) for s in table.segments(b) for p in s.parts}
     assert {f.name for f in (tmp_path / "ledger" / "segments").iterdir() if f.is_dir()} == {f"segment={p}" for p in live}
 
 
 def test_a_poll_reads_as_many_files_later_as_at_first(spark, tmp_path):
     """Each poll offers the items of the one before it and some new ones; the ledger grows on."""
-    table, files = L.LedgerTable(spark, str(tmp_path / "ledger"), buckets=2, fan=4), {}
-    for poll in range(21):
+    table, files = L.LedgerTable(spark, str(tmp_path / "ledger"), buckets=2, fan=3), {}
+    for poll in range(14):
         batch = rows_of(spark, [f"{p} {i}" for p in (poll - 1, poll) for i in range(12)], poll)
         files[poll] = table.files_met(batch, poll)
         unseen = dedupe.unseen(batch, table.met(batch, poll))
         assert unseen.count() == (12 if poll else 24)
         table.insert(unseen, poll)
-    assert len(files[20]) == len(files[5]) == 2
-    assert table.size(21) == 21 * 12 + 12
-    assert not table.files_met(rows_of(spark, ["never"], 21), 21)
+    assert len(files[13]) == len(files[4]) == 2
+    assert table.size(14) == 14 * 12 + 12
+    assert not table.files_met(rows_of(spark, ["never"], 14), 14)

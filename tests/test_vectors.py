@@ -115,6 +115,22 @@ SEVERITIES = [
 ]
 
 
+KEYS = [
+    ('{"category":"tech","x":1,"x":2}', "tech", None), ('{"category":"a","category":"b"}', None, None),
+    ('{"cat\\u0065gory":"a","category":"b"}', None, None), ('{"severity":{"a":1,"a":2}}', "", None),
+    ('{"x":{"a":1,"a":2},"severity":2}', "", "2"), ('{"severity":1e400}', None, None), ('{"x":1e400}', "", None),
+    ('{"severity":-1e400}', None, None), ('{"category":"z"},"more":1', None, None), ('{"category":"z"}}', None, None),
+    ("{'category':'z'}", None, None), ('{"severity":NaN}', None, None), ('{"category":"a\tb"}', None, None),
+    ('{"a":[1,{"b":"}"}],"category":"z"}', "z", None), ('["tech","r",2,"high"]', "tech", "2"), ('["tech","r",2,"high",5]', None, None),
+]
+
+
+def test_repeated_keys_and_numbers_beyond_range(spark):
+    """Only the four keys must not repeat, and only a severity must be a number that is one."""
+    rows = with_reply(column(spark, [raw for raw, _, _ in KEYS], "raw"), "raw", "r").selectExpr("r.category as c", "cast(r.severity as string) as s").collect()
+    assert [(r.c, r.s) for r in rows] == [k[1:] for k in KEYS]
+
+
 def test_severity(spark):
     raws = [f'{{"severity":{value}}}' for value, _ in SEVERITIES]
     replies = with_reply(column(spark, raws, "raw"), "raw", "r")
