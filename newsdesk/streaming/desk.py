@@ -13,7 +13,7 @@ from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -30,6 +30,7 @@ READ_SCHEMA = "category STRING, read STRING, severity INT, confidence STRING"
 READS_SCHEMA = f"{ITEM_SCHEMA}, {READ_SCHEMA}, error STRING"
 CARD_SCHEMA = f"{ITEM_SCHEMA}, {READ_SCHEMA}, poll_id BIGINT"
 POSTED_SCHEMA = ", ".join(f"posted_{band} BIGINT" for band in catalogue.BANDS)
+TOTALS_SCHEMA = ", ".join(f"total_{band} BIGINT" for band in catalogue.BANDS)
 LOG_SCHEMA = "unix BIGINT, cycle INT, place BIGINT, line STRING"
 
 # Position of a card in its severity's line.
@@ -68,6 +69,7 @@ class Desk:
         self.spark, self.root, self.reader, self.poster = spark, root, reader, poster
         self.params, self.params_path, self.dry, self.clock = params, params_path, dry, clock
         self.started = False
+        self.newest: dict[str, int] = {}
 
         def table(name: str, schema: str) -> BatchTable:
             return BatchTable(spark, f"{root}/{name}", schema)
@@ -77,7 +79,7 @@ class Desk:
         self.reads = table("reads", READS_SCHEMA)
         self.read_done = table("read_done", "reads BIGINT")
         self.cards = table("cards", CARD_SCHEMA)
-        self.polls = table("polls", "new BIGINT, seen BIGINT, unix BIGINT")
+        self.polls = table("polls", "new BIGINT, seen BIGINT, unix BIGINT, new_total BIGINT")
         self.popped = table("popped", f"{CARD_SCHEMA}, place BIGINT")
         self.drained = table(
             "drained", "severity INT, poll_id BIGINT, feed_ord INT, entry_ord BIGINT, fp STRING"
@@ -88,7 +90,7 @@ class Desk:
         )
         self.popped_done = table("popped_done", "rows BIGINT")
         self.deliveries_done = table("deliveries_done", "rows BIGINT")
-        self.ticks = table("ticks", f"popped BIGINT, {POSTED_SCHEMA}, unix BIGINT")
+        self.ticks = table("ticks", f"popped BIGINT, {POSTED_SCHEMA}, unix BIGINT, popped_total BIGINT, {TOTALS_SCHEMA}, oldest BIGINT")
         self.poll_log = table("poll_log", LOG_SCHEMA)
         self.tick_log = table("tick_log", LOG_SCHEMA)
         self.snapshots = table("snapshots", status_schema())
@@ -139,16 +141,29 @@ class Desk:
         self.poll_log.write(
             one_row(self.spark, unix=unix, cycle=F.lit(0), place=place, line=F.lit(line)), poll_id
         )
-        counts = {"new": F.lit(new).cast("bigint"), "seen": F.lit(seen).cast("bigint")}
-        self.polls.write(one_row(self.spark, **counts, unix=unix), poll_id)
+        before = self.polls.at(poll_id - 1).head()
+        counts = {"new": new, "seen": seen, "new_total": new + (before.new_total if before else 0)}
+        row = {name: F.lit(n).cast("bigint") for name, n in counts.items()}
+        self.polls.write(one_row(self.spark, **row, unix=unix), poll_id)
+        self.newest["polls"] = poll_id
 
     def _now(self) -> Column:
         return F.lit(int(self.clock())).cast("bigint")
 
+    def _last(self, name: str) -> Row | None:
+        """The record of the last finished poll or tick, which has the totals of all."""
+        table: BatchTable = getattr(self, name)
+        if name not in self.newest:
+            found = table.read().agg(F.max("batch_id")).head()[0]
+            if found is None:
+                return None
+            self.newest[name] = found
+        return table.at(self.newest[name]).head()
+
     def _queued(self) -> int:
-        """Cards waiting, from the one-row records of finished polls and ticks."""
-        added = self.polls.read().agg(F.sum("new")).head()[0] or 0
-        return added - (self.ticks.read().agg(F.sum("popped")).head()[0] or 0)
+        """Cards waiting, from the records of the last poll and the last tick."""
+        poll, tick = self._last("polls"), self._last("ticks")
+        return (poll.new_total if poll else 0) - (tick.popped_total if tick else 0)
 
     # Drips
 
@@ -156,11 +171,13 @@ class Desk:
         """Cards of finished polls that no tick before ``tick_id`` has popped.
 
         Within a severity cards leave in order of arrival, so the last popped position of
-        each severity (at most four rows) tells popped cards from waiting ones, and the
-        comparison reaches the scan.
+        each severity (at most four rows) tells popped cards from waiting ones. The tick before has noted the
+        poll of the oldest card that waits; the folders of earlier polls are not opened.
         """
-        finished = self.polls.read().select("batch_id")
-        cards = self.cards.read().join(finished, "batch_id", "left_semi").drop("batch_id")
+        before = self.ticks.at(tick_id - 1).head()
+        since = F.col("batch_id") >= (before.oldest if before else 0)
+        finished = self.polls.read().where(since).select("batch_id")
+        cards = self.cards.read().where(since).join(finished, "batch_id", "left_semi").drop("batch_id")
         marks = {row["severity"]: row for row in self.drained.at(tick_id - 1).collect()}
         if not marks:
             return cards
@@ -169,6 +186,20 @@ class Desk:
         ]
         return cards.where(reduce(or_, passed, ~F.col("severity").isin(*marks)))
 
+    def _oldest(self, tick_id: int) -> int:
+        """The first poll with a card that waits after a tick; no later poll's cards are before it."""
+        before = self.ticks.at(tick_id - 1).head()
+        finished = self.polls.read().where(F.col("batch_id") >= (before.oldest if before else 0))
+        upto = finished.agg(F.max("batch_id")).head()[0]
+        marks = {row["severity"]: row for row in self.drained.at(tick_id).collect()}
+        ahead = self.waiting(tick_id)
+        if marks:
+            ahead = ahead.where(reduce(or_, [(F.col("severity") == s) & _after(m) for s, m in marks.items()], ~F.col("severity").isin(*marks)))
+        first = ahead.agg(F.min("poll_id")).head()[0]
+        if first is not None:
+            return first
+        return upto + 1 if upto is not None else before.oldest if before else 0
+
     def drip(self, tick_id: int) -> None:
         """Pop the strongest cards, deliver them, and record that they have left.
 
@@ -207,7 +238,12 @@ class Desk:
             sent.select(unix.alias("unix"), F.lit(1).alias("cycle"), "place", "line"), tick_id
         )
         counts = sent.agg(F.count("*").alias("popped"), *status.posted_columns())
-        self.ticks.write(counts.withColumn("unix", unix), tick_id)
+        before = self.ticks.at(tick_id - 1).head()
+        totals = {"popped_total": "popped", **{f"total_{band}": f"posted_{band}" for band in catalogue.BANDS}}
+        summed = {total: F.col(own) + F.lit(before[total] if before else 0) for total, own in totals.items()}
+        oldest = F.lit(self._oldest(tick_id)).cast("bigint")
+        self.ticks.write(counts.withColumns({"unix": unix, **summed, "oldest": oldest}), tick_id)
+        self.newest["ticks"] = tick_id
         self.snapshots.write(self.status(), tick_id)
 
     @staticmethod
@@ -223,35 +259,20 @@ class Desk:
         return status.recent_log(self.activity(), lines, "unix", "cycle", "batch_id", "place").select("line")
 
     def status(self) -> DataFrame:
-        """One row of counters, from the one-row records of finished polls and ticks."""
-        polled = self.polls.read().select(
-            F.col("batch_id").alias("poll_id"), "new", "seen", "unix",
-            F.lit(0).cast("bigint").alias("popped"),
-            *[F.lit(0).cast("bigint").alias(f"posted_{band}") for band in catalogue.BANDS],
-        )
-        none = F.lit(None).cast("bigint")
-        ticked = self.ticks.read().select(
-            none.alias("poll_id"), F.lit(0).cast("bigint").alias("new"), none.alias("seen"),
-            none.alias("unix"), "popped", *[f"posted_{band}" for band in catalogue.BANDS],
-        )
-        count = len(catalogue.CATALOGUE)
-        return (
-            polled.unionByName(ticked)
-            .agg(
-                F.coalesce(F.max_by("seen", "poll_id"), F.lit(0)).alias("seen"),
-                F.coalesce(F.sum("new") - F.sum("popped"), F.lit(0)).alias("queued"),
-                *[F.coalesce(F.sum(f"posted_{b}"), F.lit(0)).alias(f"posted_{b}") for b in catalogue.BANDS],
-                F.max_by("unix", "poll_id").alias("last_poll_unix"),
-            )
-            .withColumns(
-                {
-                    "min_severity": F.lit(self.params.min_severity),
-                    "poll_minutes": F.lit(self.params.poll_minutes).cast("bigint"),
-                    "drip_seconds": F.lit(self.params.drip_seconds).cast("bigint"),
-                    "feeds": F.lit(count).cast("bigint"),
-                }
-            )
-        )
+        """One row of counters, from the records of the last finished poll and tick."""
+        poll, tick = self._last("polls"), self._last("ticks")
+        counters = {
+            "seen": poll.seen if poll else 0,
+            "queued": (poll.new_total if poll else 0) - (tick.popped_total if tick else 0),
+            **{f"posted_{band}": tick[f"total_{band}"] if tick else 0 for band in catalogue.BANDS},
+            "last_poll_unix": poll.unix if poll else None,
+            "min_severity": self.params.min_severity,
+            "poll_minutes": self.params.poll_minutes,
+            "drip_seconds": self.params.drip_seconds,
+            "feeds": len(catalogue.CATALOGUE),
+        }
+        kinds = dict(column.split() for column in status_schema().split(", "))
+        return one_row(self.spark, **{name: F.lit(n).cast(kinds[name].lower()) for name, n in counters.items()})
 
     # Queries
 
