@@ -72,6 +72,15 @@ def passages(raw: np.ndarray, off: np.ndarray, length: int, words: int) -> tuple
     return rows, start, ends, arrays.mix(arrays.range_hash(arrays.prefix_hash(raw, arrays.BYTE_POWERS), start, ends, arrays.BYTE_POWERS))
 
 
+def merged_spans(rows: np.ndarray, start: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that overlap or touch as one; they come by row, and both bounds ascend within a row."""
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (start[1:] > ends[:-1])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(rows)) - 1
+    return rows[first], start[first], ends[last if len(first) else first]
+
+
 def _stretches(raw: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     rows, start, anchor = anchors(raw, off, length)
     ends = np.append(start[1:], 0) + length - 1
@@ -132,19 +141,22 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, words: int) -> Iterator
             keep = np.flatnonzero(wanted[at] == there) if len(wanted) else np.zeros(0, np.int64)
             hot = flat.field("hot").to_numpy(zero_copy_only=False)[at[keep]] if len(keep) else np.zeros(0, bool)
             rows, start, ends, anchor = rows[keep], start[keep], ends[keep], anchor[keep]
-            content = arrays.range_hash(arrays.prefix_hash(raw, arrays.BYTE_POWERS), start, ends, arrays.BYTE_POWERS) if len(keep) else anchor
+            # The anchor of a short passage is the whole of it, and occurs elsewhere: neighbouring ones are one span.
+            short = ends - start < length
+            gone = merged_spans(rows[short], start[short], ends[short])
+            rows, start, ends, anchor, hot = (x[~short] for x in (rows, start, ends, anchor, hot))
+            content = arrays.range_hash(arrays.prefix_hash(raw, arrays.BYTE_POWERS), start, ends, arrays.BYTE_POWERS) if len(rows) else anchor
             _, first, place, times = np.unique(content, return_index=True, return_inverse=True, return_counts=True)
             one = np.zeros(len(rows), bool)
             one[first] = True
-            # The anchor of a short passage is the whole of it, and occurs elsewhere.
-            short = ends - start < length
-            one &= ~short
-            data = raw.tobytes()
-            cut = [data[a:b] if o else None for a, b, o in zip(start.tolist(), ends.tolist(), one.tolist(), strict=True)]
+            data, n = raw.tobytes(), len(gone[0])
+            cut = [data[a:b] if o else None for a, b, o in zip(start.tolist(), ends.tolist(), one.tolist(), strict=True)] + [None] * n
+            rows, start, ends = (np.concatenate(x) for x in zip((rows, start, ends), gone, strict=True))
+            anchor, hot, known = np.append(anchor, np.zeros(n, np.uint64)), np.append(hot, np.zeros(n, bool)), np.append(times[place] > 1, np.ones(n, bool))
             ids = piece.column("doc_id").to_numpy(zero_copy_only=False)[rows]
             low = start - off[rows]
             names = STRETCH_NAMES
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low), pa.array(ends - start), pa.array(anchor.view(np.int64)), pa.array(hot), pa.array((times[place] > 1) | short), pa.array(cut, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(low), pa.array(ends - start), pa.array(anchor.view(np.int64)), pa.array(hot), pa.array(known), pa.array(cut, pa.binary())], names=names)
 
 
 STRETCH = "doc_id long, start long, size long, anchor long, hot boolean, known boolean, stretch binary"
