@@ -42,6 +42,7 @@ def _packed(batches: Iterator[pa.RecordBatch], tokenizer: str | None, end: int,
     def made() -> pa.RecordBatch:
         value = plane_files.segment(*(np.concatenate(x) for x in zip(*held, strict=True)), planes=planes)
         held.clear()
+        arrays.free_pages()
         return pa.RecordBatch.from_arrays([pa.array([value], pa.binary())], names=["value"])
 
     for batch in batches:
@@ -80,12 +81,14 @@ def write_planes(docs: DataFrame, path: str, tokenizer: str | None = TOKENIZER,
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    arrays.fresh_memory()
     for batch in batches:
         total = [sum(s.n_ids for s in plane_files.segments(x.as_buffer())) for x in batch.column("content")]
         yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(total, pa.int64())], names=["path", "total"])
 
 
 def _documents(batches: Iterator[pa.RecordBatch], digests: bool) -> Iterator[pa.RecordBatch]:
+    arrays.fresh_memory()
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             before = 0

@@ -10,8 +10,8 @@ import regex
 
 from newsdesk.llm import arrays
 
-MOST_WORDS, MOST_CUTS = 2_000_000, 600_000
-"""Entries kept by one Python worker (about 200 MB); a store is emptied beyond. The words of one run of texts always fit."""
+MOST_WORDS, MOST_CUTS = 800_000, 200_000
+"""Entries kept by one Python worker (about 100 MB); a store is emptied beyond. The words of one run of texts always fit."""
 
 # The tokenizer's own rule for cutting words (and the blank that parts them here), and what may not
 # be cut ahead of it: characters that its normal form changes by more than lower case, and special tokens.
@@ -114,23 +114,23 @@ class WordTokens:
     def encode(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all rows, and the rows' bounds among them."""
         words = arrays.words_of(text)
-        keys = words.hashes()
+        if not len(words):
+            return np.zeros(0, np.uint32), np.zeros(len(text) + 1, np.int64)
+        # Each word is looked up once, in the order of the store.
+        keys, first, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
         at, known = self._find(keys)
         if not known.all():
-            new, first = np.unique(keys[~known], return_index=True)
-            first = np.flatnonzero(~known)[first]
-            if len(self.keys) + len(new) > MOST_WORDS:
+            new = ~known
+            if len(self.keys) + int(new.sum()) > MOST_WORDS:
                 self.keys, self.places, self.words = np.zeros(0, np.uint64), np.zeros(0, np.int64), Arena()
-                new, first = np.unique(keys, return_index=True)
+                new = np.ones(len(keys), bool)
             raw = words.raw.tobytes()
-            spans = zip(words.start[first].tolist(), words.end[first].tolist(), strict=True)
-            self._learn(new, [raw[a:b].decode("utf-8", "replace") for a, b in spans])
+            spans = zip(words.start[first[new]].tolist(), words.end[first[new]].tolist(), strict=True)
+            self._learn(keys[new], [raw[a:b].decode("utf-8", "replace") for a, b in spans])
             at, known = self._find(keys)
             if not known.all():
                 raise ValueError("a word is missing from the store")
-        if not len(keys):
-            return np.zeros(0, np.uint32), np.zeros(len(text) + 1, np.int64)
-        ids, bounds = self.words.take(self.places[at])
+        ids, bounds = self.words.take(self.places[at][of])
         return ids, bounds[words.bounds]
 
 

@@ -5,12 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import zstandard
 from odd_rows import odd_rows
 from tokenizers import Tokenizer
 
 from newsdesk.llm import plane_files, token_planes
+from newsdesk.llm.word_tokens import WordTokens
 
 WORDS = "word_bpe_49k.json"
 
@@ -95,6 +97,28 @@ def test_files_hold_all_documents_in_order(spark, odd, nothing, tmp_path, monkey
     assert token_planes.read_planes(spark, path + "-nothing").count() == 0
 
 
+def test_reading_gives_back_what_writing_has_kept():
+    """A worker that has encoded texts holds no words while it reads files."""
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2]), "text": pa.array(["some words", None])})
+    for read in (token_planes._totals, lambda files: token_planes._documents(files, digests=True)):
+        (packed,) = token_planes._packed(iter([batch]), WORDS, 2, 2, "byte")
+        assert WordTokens.of.cache_info().currsize
+        files = pa.RecordBatch.from_pydict({"path": pa.array(["f"]), "content": pa.array([packed.column("value")[0].as_py() + b"\n"], pa.binary())})
+        assert sum(x.num_rows for x in read(iter([files])))
+        assert not WordTokens.of.cache_info().currsize
+
+
+def test_each_distinct_word_is_looked_up_once(monkeypatch):
+    tokens, asked = WordTokens(WORDS), []
+    monkeypatch.setattr(tokens, "_find", lambda keys, f=tokens._find: asked.append(len(keys)) or f(keys))
+    texts = ["one two one", None, "", "two " * 500 + "three's one"]
+    library = Tokenizer.from_file(public_tokenizers.path(WORDS))
+    for _ in range(2):
+        ids, bounds = tokens.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert max(asked) == 3
+
+
 def test_many_segments_and_files(spark, tmp_path):
     """Lists of ids go in as they are; the sink parts files by segments."""
     rows = [(i, [i * 20 % 70_000, 5, None] * (i % 900)) for i in range(6000)] + [(None, None), (3, [])]
