@@ -15,7 +15,7 @@ from newsdesk.operators import dedupe, delivery, queue, reads, status
 from newsdesk.operators.decode import with_reply, with_response
 from newsdesk.operators.joins import with_band, with_channel, with_skin
 from newsdesk.plans import views as V
-from newsdesk.session import cut_lineage, staging_folder
+from newsdesk.session import cut_lineage, staging_folder, written
 from newsdesk.sources import catalogue, items, params
 from newsdesk.sources.ledger import LedgerTable
 
@@ -141,7 +141,8 @@ def ledger_after_poll(spark: SparkSession, folder: str) -> DataFrame:
     """The web ledger after one poll of the documents, written down and read back."""
     ledger = LedgerTable(spark, staging_folder(spark, "ledger"))
     ledger.insert(web_ledger(spark, folder), 0)
-    batch = dedupe.gathered(V.document_items(spark, folder))
+    # Read three times: for the files it can meet, for their rows of it, and for what they lack.
+    batch = written(dedupe.gathered(V.document_items(spark, folder)), "batch")
     fresh = dedupe.unseen(batch, ledger.met(batch, 1))
     read = reads.lexicon_reads(fresh, V.LEXICON)
     ledger.insert(dedupe.seeded(read, poll_id=1), 1)

@@ -180,7 +180,7 @@ class LedgerTable:
         name = f"{batch_id}-0"
         self._write(sightings.select(*LEDGER_COLUMNS), name)
         fresh = self._state_of(name, batch_id, 0)
-        fresh_rows = fresh.agg(F.sum("rows")).head()[0] or 0
+        fresh_rows = self._rows_of(name).count()
         live = [*old, Segment(batch_id, 0, fresh_rows, [name])] if fresh_rows else old
         live = evicted(merged(live, self.fan), self.cap)
         kept = {s.parts[0] for s in live if s.written()}
@@ -199,11 +199,14 @@ class LedgerTable:
         dealt = rows.withColumn("bucket", bucket_of(self.buckets)).repartition("bucket").sortWithinPartitions("bucket", "fp")
         dealt.write.mode("overwrite").partitionBy("bucket").parquet(self._folder(segment))
 
+    def _rows_of(self, segment: str) -> DataFrame:
+        return self.states.scan(self._folder(segment), f"{ROW_SCHEMA}, bucket INT")
+
     def _state_of(self, segment: str, oldest: int, tier: int) -> DataFrame:
         """The state's rows of a written segment."""
-        rows = self.states.scan(self._folder(segment), f"{ROW_SCHEMA}, bucket INT")
-        keys = rows.select("bucket", F.xxhash64("fp").alias("key"))
-        keys = keys.join(keys.groupBy("bucket").agg(F.count("*").alias("total")), "bucket")
+        rows = self._rows_of(segment)
+        totals = F.broadcast(rows.groupBy("bucket").agg(F.count("*").alias("total")))
+        keys = rows.select("bucket", F.xxhash64("fp").alias("key")).join(totals, "bucket")
         sorted_keys = keys.select("bucket", "key", "total").repartition("bucket").sortWithinPartitions("bucket")
         filters = sorted_keys.mapInArrow(_filters, "bucket int, rows bigint, bits binary")
         return filters.select(F.lit(segment).alias("segment"), F.lit(oldest).cast("bigint").alias("oldest"), F.lit(tier).alias("tier"), "bucket", "rows", "bits")
