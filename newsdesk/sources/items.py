@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +19,8 @@ from pyspark.sql import types as T
 from newsdesk.functions.barrier import computed_once
 from newsdesk.sources.encodings import NO_CONTENT, payload_text
 
+RUN_BYTES = 1 << 20
+"""Content decoded at once, so that a worker holds little besides the batch it was given."""
 ITEM_COLUMNS = ("feed_ord", "entry_ord", "title", "link", "source")
 
 # RSS 2.0 nests its items in the channel, RSS 1.0 puts them beside it, Atom has entries.
@@ -67,10 +71,21 @@ def decoded_payloads(files: DataFrame) -> DataFrame:
     return files.select(*[f.name for f in rest], "content").mapInArrow(_decoded, schema)
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of at most ``RUN_BYTES`` of content, or one row that has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("content")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < batch.num_rows:
+        before = ends[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + RUN_BYTES, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        read = [payload_text(content) for content in batch.column("content").to_pylist()]
-        kept = {name: batch.column(name) for name in batch.schema.names if name != "content"}
+    for run in (run for batch in batches for run in _runs(batch)):
+        read = [payload_text(content.as_py()) for content in run.column("content")]
+        kept = {name: run.column(name) for name in run.schema.names if name != "content"}
         texts = {"body": pa.array([text for text, _ in read], pa.string()), "problem": pa.array([why for _, why in read], pa.string())}
         yield pa.RecordBatch.from_pydict(kept | texts)
 

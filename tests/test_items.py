@@ -1,10 +1,12 @@
 """Feed payloads, pages and the feed catalogue."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
 from newsdesk.operators.status import feedcheck
-from newsdesk.sources import catalogue
+from newsdesk.sources import catalogue, items
 from newsdesk.sources.encodings import payload_text
 from newsdesk.sources.items import feed_items, landed_payloads, page_items, parsed_payloads
 
@@ -119,6 +121,16 @@ def test_payloads_land_in_any_encoding(spark, tmp_path):
     assert parsed[7].reason == "nothing landed"
 
 
+def test_payloads_are_decoded_in_bounded_runs(monkeypatch):
+    monkeypatch.setattr(items, "RUN_BYTES", 100)
+    content = [b"a" * 30, None, b"b" * 70, b"", b"c" * 500, b"d" * 60, b"e" * 60, None]
+    batch = pa.RecordBatch.from_pydict({"n": pa.array(range(9)), "content": pa.array([b"x", *content], pa.binary())}).slice(1)
+    out = list(items._decoded(iter([batch.slice(0, 0), batch])))
+    assert all(x.num_rows == 1 or pc.sum(pc.binary_length(x.column("body"))).as_py() <= 100 for x in out)
+    got = [tuple(r.values()) for x in out for r in x.to_pylist()]
+    assert got == [(n, *payload_text(c)) for n, c in enumerate(content, 1)]
+
+
 def test_landed_payloads(spark, tmp_path):
     for feed, body in ((3, ATOM), (7, RSS)):
         (tmp_path / f"feed_ord={feed}").mkdir()
