@@ -1,6 +1,7 @@
 """The segmented ledger against a plain list of inserts."""
 
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -71,3 +72,20 @@ def test_a_poll_reads_as_many_files_later_as_at_first(spark, tmp_path):
     assert len(files[13]) == len(files[4]) == 2
     assert table.size(14) == 14 * 12 + 12
     assert not table.files_met(rows_of(spark, ["never"], 14), 14)
+
+
+def test_the_filters_of_a_segment_are_made_once(spark, tmp_path, monkeypatch):
+    folder, filters = str(tmp_path), L._filters
+
+    def noted(batches):
+        for batch in filters(batches):
+            for bucket in batch.column("bucket").to_pylist():
+                open(f"{folder}/{bucket}-{uuid.uuid4().hex}.made", "w").close()
+            yield batch
+
+    monkeypatch.setattr(L, "_filters", noted)
+    table = L.LedgerTable(spark, f"{folder}/ledger")
+    rows = spark.range(500).selectExpr("'f' || id as fp", "0L as poll_id", "1 as feed_ord", "id as entry_ord")
+    table.insert(rows, 0)
+    assert len(list(tmp_path.glob("*.made"))) == table.state(1).count() == L.BUCKETS
+    assert table.size(1) == table.before(1).count() == 500
